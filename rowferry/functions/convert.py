@@ -73,21 +73,23 @@ def _unsupported(v: Value, target: Kind):
     )
 
 
-def _none() -> Column:
-    return F.lit(None).cast("string")
-
-
 def convert(v: Value, target: Kind) -> tuple[Column, Column]:
     """``(value, reason)``: reason is NULL when the value converts (NULL always does)."""
+    value, reason = try_convert(v, target)
+    return value, F.lit(None).cast("string") if reason is None else reason
+
+
+def try_convert(v: Value, target: Kind) -> tuple[Column, Column | None]:
+    """Like ``convert``; the reason is None for pairs of kinds that cannot fail."""
     c, kind = v.column, v.kind
     if kind is Kind.CELL:
         return _convert_cell(v, target)
     if kind is Kind.NULL:
-        return F.lit(None).cast(SPARK_TYPE[target]), _none()
+        return F.lit(None).cast(SPARK_TYPE[target]), None
     if kind is target:
-        return c, _none()
+        return c, None
     if target is Kind.TEXT:
-        return display(v), _none()
+        return display(v), None
 
     trimmed = utrim(c) if kind is Kind.TEXT else c
     if target is Kind.INTEGER:
@@ -97,10 +99,10 @@ def convert(v: Value, target: Kind) -> tuple[Column, Column]:
         if kind is Kind.TEXT:
             return _typed(text_to_integer(trimmed), c, c, M.INT_FROM_TEXT)
         if kind is Kind.BOOL:
-            return c.cast("bigint"), _none()
+            return c.cast("bigint"), None
     if target is Kind.FLOAT:
         if kind is Kind.INTEGER:
-            return c.cast("double"), _none()
+            return c.cast("double"), None
         if kind is Kind.TEXT:
             return _typed(text_to_float(trimmed), c, c, M.FLOAT_FROM_TEXT)
     if target is Kind.BOOL:
@@ -115,12 +117,12 @@ def convert(v: Value, target: Kind) -> tuple[Column, Column]:
             return _typed(value, c, c, M.BOOL_FROM_TEXT)
     if target is Kind.DATETIME:
         if kind is Kind.DATE:
-            return c.cast("timestamp_ntz"), _none()
+            return c.cast("timestamp_ntz"), None
         if kind is Kind.TEXT:
             return _typed(parse_datetime(trimmed), c, c, M.DATETIME_FROM_TEXT)
     if target is Kind.DATE:
         if kind is Kind.DATETIME:
-            return c.cast("date"), _none()
+            return c.cast("date"), None
         if kind is Kind.TEXT:
             return _typed(parse_date(trimmed), c, c, M.DATE_FROM_TEXT)
     return _unsupported(v, target)
@@ -132,14 +134,16 @@ def cell_as(cell: Column, kind: Kind) -> Value:
     return Value(text if kind is Kind.TEXT else text.try_cast(SPARK_TYPE[kind]), kind)
 
 
-def _convert_cell(v: Value, target: Kind) -> tuple[Column, Column]:
+def _convert_cell(v: Value, target: Kind) -> tuple[Column, Column | None]:
     c = v.column
     if target is Kind.TEXT:
-        return c["text"], _none()
-    value = reason = None
+        return c["text"], None
+    value = F.when(F.lit(False), F.lit(None).cast(SPARK_TYPE[target]))
+    reason = F.when(F.lit(False), F.lit(None).cast("string"))
     for kind in VALUE_KINDS:
-        got, why = convert(cell_as(c, kind), target)
+        got, why = try_convert(cell_as(c, kind), target)
         here = c["kind"] == kind.value
-        value = F.when(here, got) if value is None else value.when(here, got)
-        reason = F.when(here, why) if reason is None else reason.when(here, why)
+        value = value.when(here, got)
+        if why is not None:
+            reason = reason.when(here, why)
     return value, reason

@@ -10,6 +10,7 @@ from rowferry.functions.text import (
     FLOAT_PATTERN,
     datetime_text,
     float_text,
+    pinned,
     text_to_integer,
     utrim,
 )
@@ -20,39 +21,55 @@ def _cell(kind: Kind, text: Column) -> Column:
     return F.struct(F.lit(kind.value).alias("kind"), text.alias("text"))
 
 
-def sniff_trimmed(t: Column) -> Column:
-    """Cell of already trimmed text: integer, float, bool, date, date-time, text."""
+def _readings(t: Column) -> dict[str, Column]:
+    """What trimmed text reads as; at most one of integer and float is kept later."""
     coded = t.rlike("^0[^.]")  # 007 is a code, not a number
-    whole = F.when(~coded, text_to_integer(t))
+    long_enough = F.octet_length(t) >= 8
     real = F.when(~coded & t.rlike(FLOAT_PATTERN), t.try_cast("double"))
-    finite = real.isNotNull() & (F.abs(real) < F.lit(float("inf")))
+    return {
+        "i": F.when(~coded, text_to_integer(t)),
+        "f": F.nullif(F.abs(real), F.lit(float("inf"))) * F.sign(real),
+        "d": F.when(long_enough, parse_date(t)),
+        "m": F.when(long_enough, parse_datetime(t)),
+    }
+
+
+def _pick(t: Column, i: Column, f: Column, d: Column, m: Column) -> Column:
+    """The cell: integer, float, bool, date, date-time, else text; blank is NULL."""
     word = F.lower(t)
-    long_enough = F.octet_length(t) >= 8
-    date = F.when(long_enough, parse_date(t))
-    stamp = F.when(long_enough, parse_datetime(t))
     return (
-        F.when(t.isNull() | (t == ""), F.lit(None))
-        .when(whole.isNotNull(), _cell(Kind.INTEGER, whole.cast("string")))
-        .when(finite, _cell(Kind.FLOAT, float_text(real)))
+        F.when(t.isNull() | (t == "") | ~pinned(), F.lit(None))
+        .when(i.isNotNull(), _cell(Kind.INTEGER, i.cast("string")))
+        .when(f.isNotNull(), _cell(Kind.FLOAT, float_text(f)))
         .when(word.isin("true", "false"), _cell(Kind.BOOL, word))
-        .when(date.isNotNull(), _cell(Kind.DATE, date.cast("string")))
-        .when(stamp.isNotNull(), _cell(Kind.DATETIME, datetime_text(stamp)))
+        .when(d.isNotNull(), _cell(Kind.DATE, d.cast("string")))
+        .when(m.isNotNull(), _cell(Kind.DATETIME, datetime_text(m)))
         .otherwise(_cell(Kind.TEXT, t))
     )
 
 
-def sniff(raw: Column) -> Column:
-    return sniff_trimmed(utrim(raw))
-
-
 def sniff_cells(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Replace raw text columns by cells; other columns pass through."""
+    """Replace raw text columns by cells; other columns pass through.
+
+    Three narrow projections (trim, read, pick) keep each reading in one place;
+    they run in one generated stage.
+    """
     chosen = set(columns if columns is not None else [
         f.name for f in df.schema if f.dataType.simpleString() == "string"
     ])
-    return df.select(
+    order = {n: f"__s{k}" for k, n in enumerate(df.columns) if n in chosen}
+    passed = [F.col(quoted(n)) for n in df.columns if n not in chosen]
+    trimmed = df.select(*passed, *[utrim(F.col(quoted(n))).alias(s) for n, s in order.items()])
+    read = trimmed.select(
+        *passed,
+        *[F.col(s) for s in order.values()],
+        *[c.alias(s + r) for s in order.values() for r, c in _readings(F.col(s)).items()],
+    )
+    return read.select(
         *[
-            (sniff(F.col(quoted(n))) if n in chosen else F.col(quoted(n))).alias(n)
+            _pick(F.col(order[n]), *[F.col(order[n] + r) for r in "ifdm"]).alias(n)
+            if n in order
+            else F.col(quoted(n))
             for n in df.columns
         ]
     )

@@ -28,43 +28,66 @@ def utrim(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def pinned() -> Column:
+    """Always true, but opaque to the optimizer.
+
+    A projection that mentions it is computed where it stands: filters on its
+    outcome are not copied below it. Without that, a filter on the outcome of a
+    conversion would carry the whole conversion down to the scan and run it twice.
+    """
+    return F.spark_partition_id() >= 0
+
+
 def is_whole(x: Column) -> Column:
     """True for finite doubles without a fraction (NaN and infinities give NaN % 1)."""
     return (x % F.lit(1.0)) == F.lit(0.0)
 
 
+def _unusual_float_text(s: Column) -> Column:
+    """Text for zeros, NaN, infinities and everything Spark writes with an exponent."""
+
+    def spell(s: Column) -> Column:
+        sign = F.when(F.startswith(s, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+        digits = F.rtrim(F.translate(F.substring_index(s, "E", 1), "-.", ""), F.lit("0"))
+        exponent = F.substring_index(s, "E", -1).try_cast("int")
+        width = F.length(digits)
+        large = F.when(
+            width <= exponent + 1, F.rpad(digits, exponent + 1, F.lit("0"))
+        ).otherwise(
+            F.concat(
+                F.substring(digits, F.lit(1), exponent + 1),
+                F.lit("."),
+                F.substring(digits, exponent + 2, width),
+            )
+        )
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+        return (
+            F.when(F.contains(s, F.lit("E")),
+                   F.concat(sign, F.when(exponent >= 0, large).otherwise(small)))
+            .when(s == "Infinity", F.lit("inf"))
+            .when(s == "-Infinity", F.lit("-inf"))
+            .when(F.endswith(s, F.lit(".0")), F.substring_index(s, ".", 1))
+            .otherwise(s)
+        )
+
+    # A one-element transform names ``s`` once instead of repeating it in the tree.
+    return F.transform(F.array(s), spell)[0]
+
+
 def float_text(x: Column) -> Column:
-    """Shortest digits of a double, never with an exponent or a trailing ``.0``."""
+    """Shortest digits of a double, never with an exponent or a trailing ``.0``.
+
+    Everyday values (whole, or between 1e-3 and 1e7) take generated code only.
+    """
+    size = F.abs(x)
     s = x.cast("string")
-    sign = F.when(F.startswith(s, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    digits = F.rtrim(F.translate(F.substring_index(s, "E", 1), "-.", ""), F.lit("0"))
-    exponent = F.substring_index(s, "E", -1).try_cast("int")
-    width = F.length(digits)
-    large = F.when(
-        width <= exponent + 1, F.rpad(digits, exponent + 1, F.lit("0"))
-    ).otherwise(
-        F.concat(
-            F.substring(digits, F.lit(1), exponent + 1),
-            F.lit("."),
-            F.substring(digits, exponent + 2, width),
-        )
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    scientific = F.concat(sign, F.when(exponent >= 0, large).otherwise(small))
-    plain = F.when(
-        F.endswith(s, F.lit(".0")), F.substring_index(s, ".", 1)
-    ).otherwise(s)
     return (
-        # Whole numbers of everyday size skip the digit juggling.
         F.when(
-            is_whole(x) & (F.abs(x) < F.lit(_TWO_53)) & (x != F.lit(0.0)),
+            is_whole(x) & (size < F.lit(_TWO_53)) & (x != F.lit(0.0)),
             x.try_cast("bigint").cast("string"),
         )
-        .when(F.isnan(x), F.lit("NaN"))
-        .when(x == F.lit(float("inf")), F.lit("inf"))
-        .when(x == F.lit(float("-inf")), F.lit("-inf"))
-        .when(F.contains(s, F.lit("E")), scientific)
-        .otherwise(plain)
+        .when((size >= F.lit(1e-3)) & (size < F.lit(1e7)), s)
+        .otherwise(_unusual_float_text(s))
     )
 
 

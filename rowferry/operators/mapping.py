@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry import messages as M
 from rowferry.errors import ConfigError
-from rowferry.functions.convert import convert
-from rowferry.types import SPARK_TYPE, Kind, Value, quoted, values_of
+from rowferry.functions.convert import try_convert
+from rowferry.functions.text import pinned
+from rowferry.types import Kind, Value, quoted, values_of
 
 REJECT_COLUMNS = ("row", "column", "reason")
 
@@ -27,16 +27,24 @@ class Rule:
     null_allowed: bool = True
 
 
-def first_failure(failures: list[tuple[str, Column]]) -> Column:
-    """``(column, reason)`` of the first failing column, NULL when none fails."""
+FAILURE_TYPE = "struct<column:string,reason:string>"
+
+
+def first_failure(failures: list[tuple[str, Column | None]]) -> Column:
+    """``(column, reason)`` of the first failing column, NULL when none fails.
+
+    Reasons of None stand for columns that cannot fail; if none can, the result
+    is a constant and filters on it vanish from the plan.
+    """
     tests = [
         F.when(
-            reason.isNotNull(),
+            reason.isNotNull() & pinned(),
             F.struct(F.lit(name).alias("column"), reason.alias("reason")),
         )
         for name, reason in failures
+        if reason is not None
     ]
-    return F.coalesce(*tests) if tests else F.lit(None).cast("struct<column:string,reason:string>")
+    return F.coalesce(*tests) if tests else F.lit(None).cast(FAILURE_TYPE)
 
 
 def apply_rules(
@@ -57,9 +65,10 @@ def apply_rules(
             v = values[names[rule.source_index]]
         else:
             v = Value(F.lit(None).cast("string"), Kind.NULL, None)
-        value, reason = convert(v, rule.target_kind)
+        value, reason = try_convert(v, rule.target_kind)
         if not rule.null_allowed:
-            reason = F.when(v.column.isNull(), F.lit(M.NULL_NOT_ALLOWED)).otherwise(reason)
+            missing = F.when(v.column.isNull(), F.lit(M.NULL_NOT_ALLOWED))
+            reason = missing if reason is None else missing.otherwise(reason)
         outputs.append(value.alias(rule.target_column))
         failures.append((rule.source_name, reason))
     number = F.col(quoted(row)) if row else F.lit(None)
@@ -84,10 +93,6 @@ def reject_rows(tagged: DataFrame) -> DataFrame:
     )
 
 
-def empty_rejects(df: DataFrame) -> DataFrame:
-    return df.sparkSession.createDataFrame([], "row bigint, column string, reason string")
-
-
 def auto_match(source: DataFrame, target_columns: list[str]) -> dict[str, str]:
     """Target column -> source column with the same name, case ignored, in source order."""
     by_name = {t.lower(): t for t in target_columns}
@@ -107,10 +112,3 @@ def auto_rules(source: DataFrame, target: DataFrame) -> list[Rule]:
         Rule(source.columns.index(src), src, tgt, kinds[tgt]) for tgt, src in matched.items()
     ]
 
-
-def union_rejects(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
-
-
-def spark_type(kind: Kind) -> str:
-    return SPARK_TYPE[kind]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.errors import ConfigError
-from rowferry.functions.convert import convert
+from rowferry.functions.convert import try_convert
 from rowferry.functions.exprs import Col, Expr, Scope, as_const
 from rowferry.functions.generators import JobClock
 from rowferry.functions.predicates import Condition, comparable
@@ -26,7 +26,7 @@ from rowferry.operators.lookup import (
     keyed_join,
     last_per_key,
 )
-from rowferry.operators.mapping import first_failure, good_rows, reject_rows
+from rowferry.operators.mapping import FAILURE_TYPE, first_failure, good_rows, reject_rows
 from rowferry.operators.merge import (
     apply_deletes,
     apply_inserts,
@@ -372,7 +372,7 @@ class WorkPlan:
         exact = []
         for i, (e, c) in enumerate(self.work._on):
             target = self._target_value(c)
-            value, reason = convert(e.bind(self.scope), target.kind)
+            value, reason = try_convert(e.bind(self.scope), target.kind)
             exact.append(value.alias(f"e{i}"))
             failures.append((c, reason))
         values = F.struct(*outputs) if outputs else F.struct(F.lit(True).alias("x"))
@@ -416,21 +416,20 @@ class WorkPlan:
         """The target after this work: inserts, then updates, then deletes."""
         work, out = self.work, self.target
         if work._insert:
-            added = self.inserts()
-        if work._update or work._delete:
-            keys = [
-                self._target_value(c).column if work._match == "exact" else side
-                for (_, c), side in zip(work._on, self._key_sides()[1])
-            ]
-            names = [f"k{i}" for i in range(len(keys))]
-            if work._update:
-                out = apply_updates(
-                    out, keys, self.changes(), names, self._set_names(work._update)
-                )
-            else:
-                out = apply_deletes(out, keys, self.changes(), names)
-        # Rows added here were unmatched, so no update or delete of this work can hit them.
-        return apply_inserts(out, added) if work._insert else out
+            out = apply_inserts(out, self.inserts())
+        if not (work._update or work._delete):
+            return out
+        keys = self._stored_keys()
+        names = [f"k{i}" for i in range(len(keys))]
+        if work._update:
+            return apply_updates(out, keys, self.changes(), names, self._set_names(work._update))
+        return apply_deletes(out, keys, self.changes(), names)
+
+    def _stored_keys(self) -> list[Column]:
+        """Target columns that updates and deletes compare with."""
+        if self.work._match == "exact":
+            return [self._target_value(c).column for _, c in self.work._on]
+        return self._key_sides()[1]
 
     def _assign(self, assignments: dict[str, Expr]):
         outputs, failures = [], []
@@ -438,7 +437,7 @@ class WorkPlan:
             column = resolve_name(self.target.columns, name, f"target [{self.work.target}]")
             kind = kind_of(self.target.schema[column].dataType)
             kind = Kind.TEXT if kind is Kind.CELL else kind
-            value, reason = convert(e.bind(self.scope), kind)
+            value, reason = try_convert(e.bind(self.scope), kind)
             outputs.append(value.alias(column))
             failures.append((name, reason))
         return outputs, failures
@@ -459,7 +458,7 @@ class WorkPlan:
         plan = self
         if work._on or self.misses:
             needed = [F.col(quoted(c)) for c in self._needed()]
-            none = F.lit(None).cast("struct<column:string,reason:string>")
+            none = F.lit(None).cast(FAILURE_TYPE)
             parts = [self.by_action.where(F.col(ACTION) != "skip").select(
                 *needed, none.alias(FAIL), ACTION)]
             if self.misses:
@@ -500,10 +499,7 @@ class WorkPlan:
         if work._update:
             updated = self.changed.where(F.col(FAIL).isNull()).count()
         if work._delete:
-            keys = [
-                self._target_value(c).column if work._match == "exact" else side
-                for (_, c), side in zip(work._on, self._key_sides()[1])
-            ]
+            keys = self._stored_keys()
             names = [f"k{i}" for i in range(len(keys))]
             deleted = keyed_join(self.target, keys, self.changes(), names, "left_semi").count()
         return WorkCounts(work.name, inserted, updated, deleted, self.rejects().count())

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from rowferry import messages as M
 from rowferry.errors import ConfigError, SourceError
-from rowferry.functions.sniff import sniff, sniff_cells
+from rowferry.functions.sniff import sniff_cells
 from rowferry.scratch import materialize
 
 # File endings read as CSV (always with commas), and workbook endings.
@@ -109,8 +109,7 @@ def column_names(first: DataFrame | None, width: int) -> list[str]:
     numbered = [M.UNNAMED_COLUMN.format(n=i + 1) for i in range(width)]
     if first is None:
         return numbered
-    cells = first.limit(1).select(*[sniff(F.col(f"`{c}`")).alias(f"h{i}")
-                                    for i, c in enumerate(first.columns)]).first()
+    cells = sniff_cells(first.limit(1)).first()
     names = list(numbered)
     if cells is not None:
         for i, cell in enumerate(cells):
