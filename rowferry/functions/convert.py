@@ -27,30 +27,38 @@ DATETIME_PATTERN = (
     rf"^(?:(?:{_DATE}|{_SIGNED_DATE}) +{_TIME}"
     r"|[+-]?[0-9]{1,6}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2})$"
 )
-# Four plain year digits need no padding before the cast.
-_FULL_YEAR = r"^[0-9]{4}[-/]"
+# The spellings most data uses: casts take them after one character replacement.
+_USUAL_DATE = r"[0-9]{4}(?:-[0-9]{1,2}-|/[0-9]{1,2}/)[0-9]{1,2}"
+USUAL_DATE_PATTERN = rf"^{_USUAL_DATE}$"
+USUAL_DATETIME_PATTERN = (
+    rf"^(?:{_USUAL_DATE} {_TIME}"
+    r"|[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2})$"
+)
+
+
+def _dashed(text: Column) -> Column:
+    return F.translate(text, "/", "-")
 
 
 def _padded_year(text: Column) -> Column:
     """Dashes only, single blanks, and a year of at least four digits, as casts want it."""
-    dashed = F.translate(text, "/", "-")
-    year = F.regexp_extract(dashed, r"^[+-]?([0-9]+)", 1)
-    sign = F.regexp_extract(dashed, r"^([+-]?)", 1)
-    rest = F.regexp_replace(dashed, r"^[+-]?[0-9]+", "")
-    width = F.greatest(F.length(year), F.lit(4))
-    padded = F.concat(sign, F.lpad(year, width, F.lit("0")), rest)
-    return F.regexp_replace(
-        F.when(text.rlike(_FULL_YEAR), dashed).otherwise(padded), " +", " "
-    )
+    padded = F.regexp_replace(_dashed(text), "^([+-]?)([0-9]{1,4}-)", "$1000$2")
+    four = F.regexp_replace(padded, "^([+-]?)0{1,3}([0-9]{4})", "$1$2")
+    return F.regexp_replace(four, " +", " ")
 
 
 def parse_date(trimmed: Column) -> Column:
-    return F.when(trimmed.rlike(DATE_PATTERN), _padded_year(trimmed).try_cast("date"))
+    return F.when(
+        trimmed.rlike(USUAL_DATE_PATTERN), _dashed(trimmed).try_cast("date")
+    ).when(trimmed.rlike(DATE_PATTERN), _padded_year(trimmed).try_cast("date"))
 
 
 def parse_datetime(trimmed: Column) -> Column:
     """A date-time spelling, or a bare date as midnight."""
     return F.when(
+        trimmed.rlike(USUAL_DATETIME_PATTERN) | trimmed.rlike(USUAL_DATE_PATTERN),
+        _dashed(trimmed).try_cast("timestamp_ntz"),
+    ).when(
         trimmed.rlike(DATETIME_PATTERN) | trimmed.rlike(DATE_PATTERN),
         _padded_year(trimmed).try_cast("timestamp_ntz"),
     )
@@ -135,6 +143,7 @@ def cell_as(cell: Column, kind: Kind) -> Value:
 
 
 def _convert_cell(v: Value, target: Kind) -> tuple[Column, Column | None]:
+    """Conversion by the kind of each cell."""
     c = v.column
     if target is Kind.TEXT:
         return c["text"], None

@@ -14,10 +14,15 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Accepted number spellings (ASCII digits only).
+# Accepted spellings of numbers (ASCII digits only).
 INTEGER_PATTERN = r"^[+-]?[0-9]+$"
 FLOAT_PATTERN = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
-FLOAT_WORD_PATTERN = r"^[+-]?(?i:inf|infinity|nan)$"
+INFINITY_WORDS = ("inf", "+inf", "infinity", "+infinity")
+MINUS_INFINITY_WORDS = ("-inf", "-infinity")
+NAN_WORDS = ("nan", "+nan", "-nan")
+
+# Always true, see ``pinned``.
+PINNED = "exists(array(spark_partition_id()), p -> p >= 0)"
 
 _TWO_53 = float(2**53)
 _TWO_63 = float(2**63)
@@ -34,8 +39,12 @@ def pinned() -> Column:
     A projection that mentions it is computed where it stands: filters on its
     outcome are not copied below it. Without that, a filter on the outcome of a
     conversion would carry the whole conversion down to the scan and run it twice.
+
+    The lambda also keeps that one projection out of the fused loop of its
+    stage. A mapping of many columns fused into one loop body outgrows what the
+    JIT compiles; on its own it is generated as many small methods.
     """
-    return F.spark_partition_id() >= 0
+    return F.expr(PINNED)
 
 
 def is_whole(x: Column) -> Column:
@@ -43,51 +52,35 @@ def is_whole(x: Column) -> Column:
     return (x % F.lit(1.0)) == F.lit(0.0)
 
 
-def _unusual_float_text(s: Column) -> Column:
-    """Text for zeros, NaN, infinities and everything Spark writes with an exponent."""
-
-    def spell(s: Column) -> Column:
-        sign = F.when(F.startswith(s, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-        digits = F.rtrim(F.translate(F.substring_index(s, "E", 1), "-.", ""), F.lit("0"))
-        exponent = F.substring_index(s, "E", -1).try_cast("int")
-        width = F.length(digits)
-        large = F.when(
-            width <= exponent + 1, F.rpad(digits, exponent + 1, F.lit("0"))
-        ).otherwise(
-            F.concat(
-                F.substring(digits, F.lit(1), exponent + 1),
-                F.lit("."),
-                F.substring(digits, exponent + 2, width),
-            )
-        )
-        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-        return (
-            F.when(F.contains(s, F.lit("E")),
-                   F.concat(sign, F.when(exponent >= 0, large).otherwise(small)))
-            .when(s == "Infinity", F.lit("inf"))
-            .when(s == "-Infinity", F.lit("-inf"))
-            .when(F.endswith(s, F.lit(".0")), F.substring_index(s, ".", 1))
-            .otherwise(s)
-        )
+def _unusual_float_text(x: Column) -> Column:
+    """Zeros, NaN, infinities, and sizes that Spark's cast writes with an exponent.
 
-    # A one-element transform names ``s`` once instead of repeating it in the tree.
-    return F.transform(F.array(s), spell)[0]
+    ``%f`` with enough places pads the shortest digits with zeros; these are cut off.
+    """
+    places = F.when(F.abs(x) >= F.lit(1.0), F.format_string("%.20f", x)).otherwise(
+        F.format_string("%.345f", x)
+    )
+    return (
+        F.when(F.isnan(x), F.lit("NaN"))
+        .when(x == F.lit(float("inf")), F.lit("inf"))
+        .when(x == F.lit(float("-inf")), F.lit("-inf"))
+        .otherwise(F.rtrim(F.rtrim(places, F.lit("0")), F.lit(".")))
+    )
 
 
 def float_text(x: Column) -> Column:
     """Shortest digits of a double, never with an exponent or a trailing ``.0``.
 
-    Everyday values (whole, or between 1e-3 and 1e7) take generated code only.
+    Everyday values, whole or between 1e-3 and 1e7, take two plain casts.
     """
     size = F.abs(x)
-    s = x.cast("string")
     return (
         F.when(
             is_whole(x) & (size < F.lit(_TWO_53)) & (x != F.lit(0.0)),
             x.try_cast("bigint").cast("string"),
         )
-        .when((size >= F.lit(1e-3)) & (size < F.lit(1e7)), s)
-        .otherwise(_unusual_float_text(s))
+        .when((size >= F.lit(1e-3)) & (size < F.lit(1e7)), x.cast("string"))
+        .when(x.isNotNull(), _unusual_float_text(x))
     )
 
 
@@ -135,21 +128,37 @@ def key(v: Value) -> Column:
     return display(v)
 
 
+def starts_numeric(trimmed: Column) -> Column:
+    """First character is a digit, a sign or a point: everything else skips the parsers."""
+    code = F.ascii(trimmed)
+    return (code >= 43) & (code <= 57)
+
+
+def ends_in_digit(trimmed: Column) -> Column:
+    return F.ascii(F.substring(trimmed, -1, 1)).between(48, 57)
+
+
 def text_to_float(trimmed: Column) -> Column:
     """Strict double reading of trimmed text; NULL when it is not a number."""
-    return F.when(
-        trimmed.rlike(FLOAT_PATTERN), trimmed.try_cast("double")
-    ).when(
-        trimmed.rlike(FLOAT_WORD_PATTERN),
-        F.when(F.contains(F.lower(trimmed), F.lit("nan")), F.lit(float("nan")))
-        .when(F.startswith(trimmed, F.lit("-")), F.lit(float("-inf")))
-        .otherwise(F.lit(float("inf"))),
+    word = F.lower(trimmed)
+    return (
+        F.when(
+            starts_numeric(trimmed) & trimmed.rlike(FLOAT_PATTERN), trimmed.try_cast("double")
+        )
+        .when(word.isin(*NAN_WORDS), F.lit(float("nan")))
+        .when(word.isin(*INFINITY_WORDS), F.lit(float("inf")))
+        .when(word.isin(*MINUS_INFINITY_WORDS), F.lit(float("-inf")))
     )
 
 
 def text_to_integer(trimmed: Column) -> Column:
-    """Strict 64-bit reading of trimmed text; NULL when it is not an integer."""
-    return F.when(trimmed.rlike(INTEGER_PATTERN), trimmed.try_cast("bigint"))
+    """Strict 64-bit reading of trimmed text; NULL when it is not an integer.
+
+    The pattern goes first: a cast that fails costs an exception per row.
+    """
+    return F.when(
+        starts_numeric(trimmed) & trimmed.rlike(INTEGER_PATTERN), trimmed.try_cast("bigint")
+    )
 
 
 def num(v: Value) -> Column:

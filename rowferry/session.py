@@ -13,6 +13,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Fused loops beyond what the JIT compiles are slower than separate operators.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Plans here are built from many small expressions; skip a stack walk for each.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Big5, GBK and friends as CSV encodings.
     "spark.sql.legacy.javaCharsets": "true",
 }

@@ -109,12 +109,11 @@ def column_names(first: DataFrame | None, width: int) -> list[str]:
     numbered = [M.UNNAMED_COLUMN.format(n=i + 1) for i in range(width)]
     if first is None:
         return numbered
-    cells = sniff_cells(first.limit(1)).first()
+    cells = F.array(*[F.col(f"`{c}`") for c in first.columns])
     names = list(numbered)
-    if cells is not None:
-        for i, cell in enumerate(cells):
-            if cell is not None and cell["kind"] == "text":
-                names[i] = cell["text"]
+    for row in sniff_cells(first.limit(1).select(F.posexplode(cells))).collect():
+        if row["col"] is not None and row["col"]["kind"] == "text":
+            names[row["pos"]] = row["col"]["text"]
     for i, name in enumerate(names):
         if name.lower() in [later.lower() for later in names[i + 1:]]:
             names[i] = numbered[i]
