@@ -142,7 +142,7 @@ def auto_match_query(spark, sf_dir):
 # --- conversion: value and reason per target type --------------------------
 
 
-def converted(df, id_column, column, target):
+def value_and_reason(df, id_column, column, target):
     value, reason = convert(values_of(df)[column], target)
     return df.select(id_column, value.alias("value"), reason.alias("reason"))
 
@@ -158,7 +158,7 @@ _INT_WHY = f"case when raw_int is not null and not {_INT_OK} then concat('無法
     ("dirty_events",),
 )
 def convert_integer(spark, sf_dir):
-    return converted(view(spark, sf_dir, "dirty_events"), "event_id", "raw_int", Kind.INTEGER)
+    return value_and_reason(view(spark, sf_dir, "dirty_events"), "event_id", "raw_int", Kind.INTEGER)
 
 
 @query(
@@ -169,7 +169,7 @@ def convert_integer(spark, sf_dir):
        from orders""",
 )
 def convert_integer_from_float(spark, sf_dir):
-    return converted(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", Kind.INTEGER)
+    return value_and_reason(table(spark, sf_dir, "orders"), "o_orderkey", "o_totalprice", Kind.INTEGER)
 
 
 @query(
@@ -180,7 +180,7 @@ def convert_integer_from_float(spark, sf_dir):
     ("dirty_events",),
 )
 def convert_float(spark, sf_dir):
-    return converted(view(spark, sf_dir, "dirty_events"), "event_id", "raw_int", Kind.FLOAT)
+    return value_and_reason(view(spark, sf_dir, "dirty_events"), "event_id", "raw_int", Kind.FLOAT)
 
 
 @query(
@@ -212,7 +212,7 @@ def convert_text(spark, sf_dir):
     ("dirty_events",),
 )
 def convert_bool(spark, sf_dir):
-    return converted(view(spark, sf_dir, "dirty_events"), "event_id", "raw_bool", Kind.BOOL)
+    return value_and_reason(view(spark, sf_dir, "dirty_events"), "event_id", "raw_bool", Kind.BOOL)
 
 
 @query(
@@ -222,7 +222,7 @@ def convert_bool(spark, sf_dir):
            then concat('無法將 ', l_linenumber, ' 轉為布林（僅接受 0/1）') end as reason from lineitem""",
 )
 def convert_bool_from_integer(spark, sf_dir):
-    return converted(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", Kind.BOOL)
+    return value_and_reason(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", Kind.BOOL)
 
 
 @query(
@@ -235,7 +235,7 @@ def convert_bool_from_integer(spark, sf_dir):
     ("dirty_events",),
 )
 def convert_datetime(spark, sf_dir):
-    return converted(view(spark, sf_dir, "dirty_events"), "event_id", "raw_date", Kind.DATETIME)
+    return value_and_reason(view(spark, sf_dir, "dirty_events"), "event_id", "raw_date", Kind.DATETIME)
 
 
 @query(
@@ -247,7 +247,7 @@ def convert_datetime(spark, sf_dir):
     ("dirty_events",),
 )
 def convert_date(spark, sf_dir):
-    return converted(view(spark, sf_dir, "dirty_events"), "event_id", "raw_date", Kind.DATE)
+    return value_and_reason(view(spark, sf_dir, "dirty_events"), "event_id", "raw_date", Kind.DATE)
 
 
 @query(
@@ -256,7 +256,7 @@ def convert_date(spark, sf_dir):
        from events""",
 )
 def convert_unsupported(spark, sf_dir):
-    return converted(table(spark, sf_dir, "events"), "event_id", "event_id", Kind.DATE)
+    return value_and_reason(table(spark, sf_dir, "events"), "event_id", "event_id", Kind.DATE)
 
 
 DIRTY_RULES = [
@@ -403,4 +403,4 @@ def gen_dates(spark, sf_dir):
     )
 
 
-__all__ = ["assign", "converted", "dirty_job", "display"]
+__all__ = ["assign", "value_and_reason", "dirty_job", "display"]

@@ -37,7 +37,7 @@ USUAL_DATETIME_PATTERN = (
 
 
 def _dashed(text: Column) -> Column:
-    return F.translate(text, "/", "-")
+    return F.when(F.contains(text, F.lit("/")), F.translate(text, "/", "-")).otherwise(text)
 
 
 def _padded_year(text: Column) -> Column:
@@ -68,72 +68,86 @@ def _around(parts: tuple[str, str], shown: Column) -> Column:
     return F.concat(F.lit(parts[0]), shown, F.lit(parts[1]))
 
 
-def _typed(value: Column, shown: Column, source: Column, parts: tuple[str, str]):
-    """Pair a nullable result with its reason: NULL in is fine, NULL out is not."""
-    return value, F.when(source.isNotNull() & value.isNull(), _around(parts, shown))
-
-
-def _unsupported(v: Value, target: Kind):
-    text = M.UNSUPPORTED.format(source=v.kind.label, target=target.label)
-    return (
-        F.lit(None).cast(SPARK_TYPE[target]),
-        F.when(v.column.isNotNull(), F.lit(text)),
-    )
-
-
 def convert(v: Value, target: Kind) -> tuple[Column, Column]:
     """``(value, reason)``: reason is NULL when the value converts (NULL always does)."""
-    value, reason = try_convert(v, target)
+    value = converted(v, target)
+    reason = failure(v, target, value)
     return value, F.lit(None).cast("string") if reason is None else reason
 
 
-def try_convert(v: Value, target: Kind) -> tuple[Column, Column | None]:
-    """Like ``convert``; the reason is None for pairs of kinds that cannot fail."""
+def converted(v: Value, target: Kind) -> Column:
+    """The value in the target's type; NULL if it is NULL or does not convert."""
     c, kind = v.column, v.kind
     if kind is Kind.CELL:
-        return _convert_cell(v, target)
-    if kind is Kind.NULL:
-        return F.lit(None).cast(SPARK_TYPE[target]), None
+        return _by_cell_kind(c, target)
     if kind is target:
-        return c, None
+        return c
     if target is Kind.TEXT:
-        return display(v), None
-
-    trimmed = utrim(c) if kind is Kind.TEXT else c
-    if target is Kind.INTEGER:
-        if kind is Kind.FLOAT:
-            value = F.when(is_whole(c), c.try_cast("bigint"))
-            return _typed(value, float_text(c), c, M.INT_FROM_FLOAT)
-        if kind is Kind.TEXT:
-            return _typed(text_to_integer(trimmed), c, c, M.INT_FROM_TEXT)
-        if kind is Kind.BOOL:
-            return c.cast("bigint"), None
-    if target is Kind.FLOAT:
-        if kind is Kind.INTEGER:
-            return c.cast("double"), None
-        if kind is Kind.TEXT:
-            return _typed(text_to_float(trimmed), c, c, M.FLOAT_FROM_TEXT)
-    if target is Kind.BOOL:
-        if kind is Kind.INTEGER:
-            value = F.when(c == 0, F.lit(False)).when(c == 1, F.lit(True))
-            return _typed(value, c.cast("string"), c, M.BOOL_FROM_INT)
-        if kind is Kind.TEXT:
-            word = F.lower(trimmed)
-            value = F.when(word.isin("true", "1"), F.lit(True)).when(
-                word.isin("false", "0"), F.lit(False)
-            )
-            return _typed(value, c, c, M.BOOL_FROM_TEXT)
-    if target is Kind.DATETIME:
-        if kind is Kind.DATE:
-            return c.cast("timestamp_ntz"), None
-        if kind is Kind.TEXT:
-            return _typed(parse_datetime(trimmed), c, c, M.DATETIME_FROM_TEXT)
-    if target is Kind.DATE:
-        if kind is Kind.DATETIME:
-            return c.cast("date"), None
-        if kind is Kind.TEXT:
-            return _typed(parse_date(trimmed), c, c, M.DATE_FROM_TEXT)
-    return _unsupported(v, target)
+        return display(v)
+    if (kind, target) in _READERS:
+        return _READERS[kind, target][0](c)
+    return F.lit(None).cast(SPARK_TYPE[target])
+
+
+def failure(v: Value, target: Kind, value: Column) -> Column | None:
+    """Why ``value`` is NULL although ``v`` is not; None for pairs that cannot fail.
+
+    Takes the converted value as an argument so that a projection above the
+    conversion can look at the outcome instead of converting again.
+    """
+    c, kind = v.column, v.kind
+    if kind is target or target is Kind.TEXT or kind is Kind.NULL:
+        return None
+    if kind is Kind.CELL:
+        reason = F.when(F.lit(False), F.lit(None).cast("string"))
+        for k in VALUE_KINDS:
+            why = _reason(cell_as(c, k), k, target)
+            if why is not None:
+                reason = reason.when(c["kind"] == k.value, why)
+    else:
+        reason = _reason(v, kind, target)
+        if reason is None:
+            return None
+    return F.when(c.isNotNull() & value.isNull(), reason)
+
+
+def _reason(v: Value, kind: Kind, target: Kind) -> Column | None:
+    """Text for a value known not to convert."""
+    if kind is target or target is Kind.TEXT:
+        return None
+    if (kind, target) not in _READERS:
+        return F.lit(M.UNSUPPORTED.format(source=kind.label, target=target.label))
+    parts = _READERS[kind, target][1]
+    return None if parts is None else _around(parts, display(v))
+
+
+def _int_as_bool(c: Column) -> Column:
+    return F.when(c == 0, F.lit(False)).when(c == 1, F.lit(True))
+
+
+def _text_as_bool(c: Column) -> Column:
+    word = F.lower(utrim(c))
+    return F.when(word.isin("true", "1"), F.lit(True)).when(
+        word.isin("false", "0"), F.lit(False)
+    )
+
+
+# How each pair of kinds converts, and the text around a value that does not.
+# Pairs that are not here (and are neither equal nor to text) are unsupported.
+_READERS = {
+    (Kind.FLOAT, Kind.INTEGER): (
+        lambda c: F.when(is_whole(c), c.try_cast("bigint")), M.INT_FROM_FLOAT),
+    (Kind.TEXT, Kind.INTEGER): (lambda c: text_to_integer(utrim(c)), M.INT_FROM_TEXT),
+    (Kind.BOOL, Kind.INTEGER): (lambda c: c.cast("bigint"), None),
+    (Kind.INTEGER, Kind.FLOAT): (lambda c: c.cast("double"), None),
+    (Kind.TEXT, Kind.FLOAT): (lambda c: text_to_float(utrim(c)), M.FLOAT_FROM_TEXT),
+    (Kind.INTEGER, Kind.BOOL): (_int_as_bool, M.BOOL_FROM_INT),
+    (Kind.TEXT, Kind.BOOL): (_text_as_bool, M.BOOL_FROM_TEXT),
+    (Kind.DATE, Kind.DATETIME): (lambda c: c.cast("timestamp_ntz"), None),
+    (Kind.TEXT, Kind.DATETIME): (lambda c: parse_datetime(utrim(c)), M.DATETIME_FROM_TEXT),
+    (Kind.DATETIME, Kind.DATE): (lambda c: c.cast("date"), None),
+    (Kind.TEXT, Kind.DATE): (lambda c: parse_date(utrim(c)), M.DATE_FROM_TEXT),
+}
 
 
 def cell_as(cell: Column, kind: Kind) -> Value:
@@ -142,17 +156,11 @@ def cell_as(cell: Column, kind: Kind) -> Value:
     return Value(text if kind is Kind.TEXT else text.try_cast(SPARK_TYPE[kind]), kind)
 
 
-def _convert_cell(v: Value, target: Kind) -> tuple[Column, Column | None]:
-    """Conversion by the kind of each cell."""
-    c = v.column
+def _by_cell_kind(c: Column, target: Kind) -> Column:
     if target is Kind.TEXT:
-        return c["text"], None
+        return c["text"]
     value = F.when(F.lit(False), F.lit(None).cast(SPARK_TYPE[target]))
-    reason = F.when(F.lit(False), F.lit(None).cast("string"))
     for kind in VALUE_KINDS:
-        got, why = try_convert(cell_as(c, kind), target)
-        here = c["kind"] == kind.value
-        value = value.when(here, got)
-        if why is not None:
-            reason = reason.when(here, why)
-    return value, reason
+        if kind is target or (kind, target) in _READERS:
+            value = value.when(c["kind"] == kind.value, converted(cell_as(c, kind), target))
+    return value

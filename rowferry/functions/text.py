@@ -29,8 +29,14 @@ _TWO_63 = float(2**63)
 
 
 def utrim(text: Column) -> Column:
-    """Trim Unicode white space; Spark's plain ``trim`` only strips U+0020."""
-    return F.btrim(text, F.lit(WHITESPACE))
+    """Trim Unicode white space; Spark's plain ``trim`` only strips U+0020.
+
+    Text that begins and ends with a visible ASCII character is left alone,
+    which spares most values the set-based trim.
+    """
+    first, last = F.ascii(text), F.ascii(F.substring(text, -1, 1))
+    visible = (first > 32) & (first < 127) & (last > 32) & (last < 127)
+    return F.when(visible, text).otherwise(F.btrim(text, F.lit(WHITESPACE)))
 
 
 def pinned() -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rowferry import messages as M
 from rowferry.errors import ConfigError
-from rowferry.functions.convert import try_convert
+from rowferry.functions.convert import converted, failure
 from rowferry.functions.text import pinned
 from rowferry.types import Kind, Value, quoted, values_of
 
@@ -59,23 +59,55 @@ def apply_rules(
         raise ConfigError("a mapping needs at least one rule")
     names = [c for c in source.columns if c != row and c not in (keep or [])]
     values = values_of(source)
-    outputs, failures = [], []
-    for rule in rules:
-        if 0 <= rule.source_index < len(names):
-            v = values[names[rule.source_index]]
-        else:
-            v = Value(F.lit(None).cast("string"), Kind.NULL, None)
-        value, reason = try_convert(v, rule.target_kind)
-        if not rule.null_allowed:
-            missing = F.when(v.column.isNull(), F.lit(M.NULL_NOT_ALLOWED))
-            reason = missing if reason is None else missing.otherwise(reason)
-        outputs.append(value.alias(rule.target_column))
-        failures.append((rule.source_name, reason))
+    missing = Value(F.lit(None).cast("string"), Kind.NULL, None)
+    operands = [
+        (
+            rule.target_column,
+            rule.source_name,
+            values[names[rule.source_index]] if 0 <= rule.source_index < len(names) else missing,
+            rule.target_kind,
+            rule.null_allowed,
+        )
+        for rule in rules
+    ]
     number = F.col(quoted(row)) if row else F.lit(None)
-    return source.select(
+    carried = [F.col(quoted(k)).alias(k) for k in keep or []]
+    return convert_columns(source, operands, [*carried, number.cast("bigint").alias("__row")])
+
+
+def convert_columns(
+    df: DataFrame,
+    operands: list[tuple[str, str, Value, Kind, bool]],
+    carried: list[Column],
+) -> DataFrame:
+    """Converted columns, carried columns and ``__fail``.
+
+    ``operands``: output name, name to report, value, kind, whether NULL is allowed.
+    Two projections: the first converts, the second looks at the outcomes, so no
+    value is converted twice and failures cost good rows nothing but NULL checks.
+    """
+    first, outputs, failures = [], [], []
+    for k, (name, reported, v, kind, null_allowed) in enumerate(operands):
+        same = v.kind is kind or v.kind is Kind.NULL
+        done = F.col(f"__v{k}")
+        first.append(converted(v, kind).alias(f"__v{k}"))
+        raw = v
+        if not same and kind is not Kind.TEXT:
+            first.append(v.column.alias(f"__r{k}"))
+            raw = Value(F.col(f"__r{k}"), v.kind)
+        reason = failure(raw, kind, done)
+        if not null_allowed:
+            absent = done if same or kind is Kind.TEXT else raw.column
+            missing = F.when(absent.isNull(), F.lit(M.NULL_NOT_ALLOWED))
+            reason = missing if reason is None else missing.otherwise(reason)
+        outputs.append(done.alias(name))
+        failures.append((reported, reason))
+    kept = [f"__c{k}" for k in range(len(carried))]
+    names = df.select(*carried).columns if carried else []
+    step = df.select(*first, *[c.alias(n) for c, n in zip(carried, kept)])
+    return step.select(
         *outputs,
-        *[F.col(quoted(k)) for k in keep or []],
-        number.cast("bigint").alias("__row"),
+        *[F.col(n).alias(name) for n, name in zip(kept, names)],
         first_failure(failures).alias("__fail"),
     )
 

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.errors import ConfigError
-from rowferry.functions.convert import try_convert
 from rowferry.functions.exprs import Col, Expr, Scope, as_const
 from rowferry.functions.generators import JobClock
 from rowferry.functions.predicates import Condition, comparable
@@ -26,7 +25,13 @@ from rowferry.operators.lookup import (
     keyed_join,
     last_per_key,
 )
-from rowferry.operators.mapping import FAILURE_TYPE, first_failure, good_rows, reject_rows
+from rowferry.operators.mapping import (
+    FAILURE_TYPE,
+    convert_columns,
+    first_failure,
+    good_rows,
+    reject_rows,
+)
 from rowferry.operators.merge import (
     apply_deletes,
     apply_inserts,
@@ -354,8 +359,7 @@ class WorkPlan:
         if self.work._on:
             source_keys, _ = self._key_sides()
             rows = first_wins(rows, source_keys, self.order)
-        outputs, failures = self._assign(self.work._insert)
-        return rows.select(*outputs, ROW, first_failure(failures).alias(FAIL))
+        return convert_columns(rows, self._assign(self.work._insert), [F.col(ROW)])
 
     def inserts(self) -> DataFrame:
         return good_rows(self.tagged_inserts(), self._set_names(self.work._insert))
@@ -368,21 +372,25 @@ class WorkPlan:
             return self.changed
         source_keys, _ = self._key_sides()
         action = "update" if self.work._update else "delete"
-        outputs, failures = self._assign(self.work._update or {})
-        exact = []
+        sets = self._assign(self.work._update or {})
+        keys = []
         for i, (e, c) in enumerate(self.work._on):
-            target = self._target_value(c)
-            value, reason = try_convert(e.bind(self.scope), target.kind)
-            exact.append(value.alias(f"e{i}"))
-            failures.append((c, reason))
-        values = F.struct(*outputs) if outputs else F.struct(F.lit(True).alias("x"))
-        return self._rows(action).select(
+            v = e.bind(self.scope)
+            keys.append((f"__e{i}", c, v, self._target_value(c).kind, True))
+        carried = [
             *[k.alias(f"k{i}") for i, k in enumerate(source_keys)],
-            *exact,
-            values.alias("v"),
             *[o.alias(f"__o{i}") for i, o in enumerate(self.order)],
+            F.col(ROW),
+        ]
+        rows = convert_columns(self._rows(action), sets + keys, carried)
+        values = [F.col(quoted(name)) for name, *_ in sets] or [F.lit(True).alias("x")]
+        return rows.select(
+            *[f"k{i}" for i in range(len(keys))],
+            *[F.col(f"__e{i}").alias(f"e{i}") for i in range(len(keys))],
+            F.struct(*values).alias("v"),
+            *[f"__o{i}" for i in range(len(self.order))],
             ROW,
-            first_failure(failures).alias(FAIL),
+            FAIL,
         )
 
     def changes(self) -> DataFrame:
@@ -431,16 +439,14 @@ class WorkPlan:
             return [self._target_value(c).column for _, c in self.work._on]
         return self._key_sides()[1]
 
-    def _assign(self, assignments: dict[str, Expr]):
-        outputs, failures = [], []
+    def _assign(self, assignments: dict[str, Expr]) -> list[tuple[str, str, Value, Kind, bool]]:
+        operands = []
         for name, e in assignments.items():
             column = resolve_name(self.target.columns, name, f"target [{self.work.target}]")
             kind = kind_of(self.target.schema[column].dataType)
             kind = Kind.TEXT if kind is Kind.CELL else kind
-            value, reason = try_convert(e.bind(self.scope), kind)
-            outputs.append(value.alias(column))
-            failures.append((name, reason))
-        return outputs, failures
+            operands.append((column, name, e.bind(self.scope), kind, True))
+        return operands
 
     def _set_names(self, assignments: dict[str, Expr]) -> list[str]:
         what = f"target [{self.work.target}]"
