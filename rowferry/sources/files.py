@@ -16,7 +16,7 @@ CSV_ENDINGS = ("csv", "txt", "tsv")
 WORKBOOK_ENDINGS = ("xlsx", "xlsm", "xls", "xlsb", "ods")
 
 # A line that is a whole record: every quoted field closes before the line ends.
-_FIELD = r'(?:[^",]*+|"(?:[^"]++|"")*+")'
+_FIELD = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
 _WHOLE_RECORD = rf"^{_FIELD}(?:,{_FIELD})*+$"
 _QUOTED_FIELD = r'"(?:[^"]++|"")*+"'
 
