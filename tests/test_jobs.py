@@ -136,3 +136,16 @@ def test_changed_files_are_not_resumed(spark, folder):
     pq.write_table(pa.table({"line": [90], "n": ["2"]}), f"{folder}/in/extra.parquet")
     with pytest.raises(JobError, match="changed"):
         run_batches(spark, job)
+
+
+def test_listing_guard_and_checks(spark, folder):
+    job = batch_job(spark, folder)
+    job.guard, job.files_per_batch = "listing", 4
+    assert run_batches(spark, job).count() == 1
+    assert run_batches(spark, job).count() == 1
+    job.guard = "none"
+    with pytest.raises(ConfigError):
+        run_batches(spark, job)
+    job.target = job.source + "/out"
+    with pytest.raises(ConfigError):
+        run_batches(spark, job)
