@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowferry.operators.lookup import first_per_key, keyed_join, last_per_key, order_key
-from rowferry.types import quoted
+from rowferry.types import fit, quoted
 
 
 def mark_matches(
@@ -83,12 +83,13 @@ def apply_updates(
     """Target with ``columns`` set from ``changes.v`` where the key matches (at most one change)."""
     joined = keyed_join(target, target_keys, changes, key_names, "left", _own_salt(target))
     set_columns = {c.lower(): c for c in columns}
+    changed = changes.schema["v"].dataType
     out = []
     for field in target.schema:
         old = F.col(quoted(field.name))
         name = set_columns.get(field.name.lower())
         if name is not None:
-            new = F.col("v")[name].cast(field.dataType)
+            new = fit(F.col("v")[name], changed[name].dataType, field.dataType)
             out.append(F.when(F.col("v").isNotNull(), new).otherwise(old).alias(field.name))
         else:
             out.append(old.alias(field.name))
@@ -103,15 +104,15 @@ def apply_deletes(
 
 def apply_inserts(target: DataFrame, rows: DataFrame) -> DataFrame:
     """Append rows; columns they do not set are NULL, types are the target's."""
-    given = {c.lower(): c for c in rows.columns}
-    fitted = rows.select(
-        *[
-            (F.col(quoted(given[f.name.lower()])) if f.name.lower() in given else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
-            for f in target.schema
-        ]
-    )
+    given = {f.name.lower(): f for f in rows.schema}
+
+    def stored(to):
+        one = given.get(to.name.lower())
+        if one is None:
+            return F.lit(None).cast(to.dataType)
+        return fit(F.col(quoted(one.name)), one.dataType, to.dataType)
+
+    fitted = rows.select(*[stored(f).alias(f.name) for f in target.schema])
     return target.unionAll(fitted)
 
 

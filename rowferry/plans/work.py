@@ -497,18 +497,33 @@ class WorkPlan:
         return df.where(F.col(ACTION) != "skip").select(*needed, FAIL, ACTION)
 
     def counts(self) -> WorkCounts:
-        """Inserted, updated, deleted and rejected rows of a staged plan."""
+        """Inserted, updated, deleted and rejected rows of a staged plan.
+
+        One aggregate per staged table, which reads the outcome column only.
+        """
         work = self.work
-        inserted = updated = deleted = 0
+        counts = WorkCounts(work.name)
+        if self.staged is not None and self.misses:
+            counts.rejected += self.staged.where(F.col(ACTION) == "reject").count()
         if work._insert:
-            inserted = self.written.where(F.col(FAIL).isNull()).count()
-        if work._update:
-            updated = self.changed.where(F.col(FAIL).isNull()).count()
+            counts.inserted, bad = _good_and_bad(self.written)
+            counts.rejected += bad
+        if work._update or work._delete:
+            counts.updated, bad = _good_and_bad(self.changed)
+            counts.rejected += bad
         if work._delete:
+            counts.updated = 0
             keys = self._stored_keys()
             names = [f"k{i}" for i in range(len(keys))]
-            deleted = keyed_join(self.target, keys, self.changes(), names, "left_semi").count()
-        return WorkCounts(work.name, inserted, updated, deleted, self.rejects().count())
+            counts.deleted = keyed_join(
+                self.target, keys, self.changes(), names, "left_semi"
+            ).count()
+        return counts
+
+
+def _good_and_bad(tagged: DataFrame) -> tuple[int, int]:
+    bad = F.count_if(F.col(FAIL).isNotNull())
+    return tuple(tagged.agg(F.count(F.lit(1)) - bad, bad).first())
 
 
 def run_works(

@@ -38,7 +38,9 @@ def publish_snapshot(
     """Replace a table by a staged snapshot.
 
     ``touched_only`` replaces only the partitions present in ``df``, so a merge
-    that touches few partitions does not rewrite the whole table.
+    that touches few partitions does not rewrite the whole table. A partition that
+    lost all its rows is not present in ``df`` and would stay: replace the whole
+    table after deletes, or drop such partitions.
     """
     writer = df.write.mode("overwrite")
     if touched_only:

@@ -12,7 +12,7 @@ from rowferry.errors import ConfigError, NotFoundError
 from rowferry.functions.sniff import infer_types
 from rowferry.functions.text import display
 from rowferry.sources.files import check_ending, read_csv
-from rowferry.types import Kind, kind_of, normalize_types, quoted, values_of
+from rowferry.types import Kind, normalize_types, values_of
 
 
 @dataclass(frozen=True)
@@ -146,6 +146,25 @@ def preview_columns(
     return infer_types(df, sample, order_by)
 
 
+@dataclass
+class SourcePreview:
+    """Columns with inferred types, the first rows, and the number of all rows if asked for."""
+
+    columns: DataFrame
+    rows: DataFrame
+    total_rows: int | None
+
+
+def source_preview(
+    df: DataFrame, rows: int = 100, order_by: list[str] | None = None, count: bool = True
+) -> SourcePreview:
+    return SourcePreview(
+        preview_columns(df, rows, order_by),
+        preview(df, rows, order_by),
+        df.count() if count else None,
+    )
+
+
 def rows_to_json(df: DataFrame, name: str = "json") -> DataFrame:
     """One JSON object per row; dates and times as text, NULLs kept."""
     values = values_of(df)
@@ -202,12 +221,8 @@ def describe_columns(spark: SparkSession, table: str | DataFrame) -> DataFrame:
     )
 
 
-def target_kinds(df: DataFrame) -> dict[str, Kind]:
-    return {f.name: kind_of(f.dataType) for f in df.schema}
-
-
 __all__ = [
-    "SourceSpec", "describe_columns", "jdbc_options", "limit_rows", "list_tables", "preview",
-    "preview_columns", "query_fingerprint", "quoted", "read_jdbc", "read_query", "read_source",
-    "read_table", "resolve_source", "rows_to_json", "target_kinds",
+    "SourcePreview", "SourceSpec", "describe_columns", "jdbc_options", "limit_rows",
+    "list_tables", "preview", "preview_columns", "query_fingerprint", "read_jdbc", "read_query",
+    "read_source", "read_table", "resolve_source", "rows_to_json", "source_preview",
 ]

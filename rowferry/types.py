@@ -113,6 +113,18 @@ def normalize_column(column: Column, dtype: T.DataType) -> Column:
     return column.cast(SPARK_TYPE[kind])
 
 
+def fit(column: Column, dtype: T.DataType, to: T.DataType) -> Column:
+    """A value of one of the six types as the stored type of a target column.
+
+    The way back from ``normalize_column``: date-times without a zone are UTC
+    where the target stores instants.
+    """
+    if isinstance(to, T.TimestampType) and isinstance(dtype, T.TimestampNTZType):
+        epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, column))
+    return column.cast(to)
+
+
 def normalize_types(df: DataFrame) -> DataFrame:
     """Every column of ``df`` in one of the six types; order and names are kept."""
     return df.select(

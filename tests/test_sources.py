@@ -28,6 +28,7 @@ from rowferry.sources.tables import (
     read_source,
     resolve_source,
     rows_to_json,
+    source_preview,
 )
 
 
@@ -98,6 +99,7 @@ def test_preview(spark, folder):
     assert [tuple(r) for r in preview(df, 1).collect()] == [("1", "2026-01-02", "x")]
     assert [(r["index"], r["name"], r["inferred_type"]) for r in preview_columns(df).collect()] == [
         (0, "n", "float"), (1, "d", "datetime"), (2, "t", "text")]
+    assert source_preview(df, 1).total_rows == 2 and source_preview(df, 1).rows.count() == 1
     assert [r[0] for r in rows_to_json(df).collect()] == [
         '{"n":1,"d":"2026-01-02","t":"x"}', '{"n":2.5,"d":"2026-01-02 10:00:00","t":null}']
 

@@ -172,6 +172,19 @@ def test_failed_write_stops_the_job(spark, tables):
     assert result.status == "failed" and "over" in result.failure and not result.works
 
 
+def test_zoned_targets_store_utc(spark):
+    saved = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Taipei")
+    try:
+        src = spark.sql("select 1 as o, timestamp_ntz'2026-01-02 03:00:00' as at")
+        target = spark.sql("select 0 as o, timestamp_seconds(0) as at")
+        work = Work("w").source(src, order_by="o", row="o").into("t").add({"o": col("o"), "at": col("at")})
+        out = work.plan({"t": target}).apply()
+        assert [r[0] for r in out.select(F.unix_seconds("at")).orderBy("o").collect()] == [0, 1767322800]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", saved)
+
+
 def test_lookup_semantics(spark):
     src = spark.createDataFrame([(1, 5, "x"), (2, 5, None), (3, 6, "y"), (4, None, "x")], "o bigint, k int, c string")
     lk = spark.createDataFrame([(1, "5", " X ", "first"), (2, "5.0", "x", "second"), (3, "5", "X", "last"),
