@@ -462,17 +462,20 @@ class WorkPlan:
         """
         work = self.work
         plan = self
-        if work._on or self.misses:
+        changing = bool(work._update or work._delete)
+        # Joined rows are written only if more than one outcome is read from them.
+        if bool(work._insert) + changing + bool(self.misses) > 1:
             needed = [F.col(quoted(c)) for c in self._needed()]
-            none = F.lit(None).cast(FAILURE_TYPE)
-            parts = [self.by_action.where(F.col(ACTION) != "skip").select(
-                *needed, none.alias(FAIL), ACTION)]
             if self.misses:
-                parts = [self._classified(needed)]
-            plan = replace(plan, staged=materialize(parts[0], "work", [ACTION]))
+                rows = self._classified(needed)
+            else:
+                rows = self.by_action.where(F.col(ACTION) != "skip").select(
+                    *needed, F.lit(None).cast(FAILURE_TYPE).alias(FAIL), ACTION
+                )
+            plan = replace(plan, staged=materialize(rows, "work", [ACTION]))
         if work._insert:
             plan = replace(plan, written=materialize(plan.tagged_inserts(), "added"))
-        if work._update or work._delete:
+        if changing:
             plan = replace(plan, changed=materialize(plan.tagged_changes(), "changed"))
         return plan
 
