@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from rowferry import messages as M
 from rowferry.functions.text import (
     display,
-    float_text,
     is_whole,
     text_to_float,
     text_to_integer,
