@@ -1,4 +1,4 @@
-"""Intermediate tables in the cluster's shared checkpoint folder.
+"""Intermediate tables in a folder that driver and executors share.
 
 Stages that must not be recomputed (random ids, positions in a sorted frame,
 a table that the next work reads) are written as Parquet and read back. That
@@ -8,21 +8,18 @@ joins are planned on facts.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowferry.errors import ConfigError
-
 
 def scratch_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.gettempdir()
+    """The folder set as ``spark.checkpoint.dir`` or by ``setCheckpointDir``, else the warehouse.
+
+    The warehouse is shared by definition; no machine's own temporary folder is used.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

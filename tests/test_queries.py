@@ -5,6 +5,7 @@ from conftest import SF
 from oracle import compare, duck
 
 from __spark_entry__ import entry, oracle_sql, queries
+from queries import QUERIES
 
 ROWS_ONLY = {"source_fingerprint", "content_checksum"}
 
@@ -14,12 +15,12 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert compare(spark, con, name, SF) is None
 
 
 def test_contract(spark):
     assert set(oracle_sql()) <= set(queries())
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
+    assert set(QUERIES) - set(oracle_sql()) == ROWS_ONLY
     assert entry(spark).limit(1).count() == 1
