@@ -7,8 +7,15 @@ keeps the ids of words it has met; the library encodes every other word.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
+#: Small letters of Latin-1, which no normalisation changes, then ASCII marks that cannot begin a contraction.
+STEM_AND_MARKS = re.compile(
+    rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)((?:[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?)"
+)
+
 
 class WordEncoder:
     """Texts to ids, as little-endian unsigned 32-bit integers.
@@ -19,12 +26,15 @@ class WordEncoder:
 
     _open: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keep, self.seen = keep, {}
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[ends] = True
+        self.keep, self.seen, self.stems, self.marks = keep, {}, {}, {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -33,24 +43,48 @@ class WordEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _by_library(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, whatever it is made of."""
         got = self.tokenizer.encode(
             [w.decode() for w in words], is_pretokenized=True, add_special_tokens=False
         )
-        ids = np.array(got.ids, dtype="<u4")
-        owner = np.array(got.word_ids, dtype=np.int64) if len(ids) else np.zeros(0, np.int64)
-        ends = np.searchsorted(owner, np.arange(len(words)), side="right")
-        data, at = ids.tobytes(), 0
-        for word, end in zip(words, (ends * 4).tolist()):
-            self.seen[word] = data[at:end]
-            at = end
+        data = np.array(got.ids, dtype="<u4").tobytes()
+        owner = np.array(got.word_ids, dtype=np.int64) if data else np.zeros(0, np.int64)
+        ends = (4 * np.searchsorted(owner, np.arange(len(words)), side="right")).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _stems_by_library(self, stems: list[bytes]) -> list[bytes]:
+        """The same for words of letters: one text, cut behind the tokens that end a word."""
+        found = self.tokenizer.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)
+        ids = np.array(found[0].ids, dtype="<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(stems):
+            return self._by_library(stems)
+        data, ends = ids.tobytes(), (4 * ends).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Words of letters and marks behind them are encoded by parts, as the tokenizer would cut them."""
+        parts = {w: m.groups() for w in words if (m := STEM_AND_MARKS.fullmatch(w))}
+        stems, marks = self.stems, self.marks
+        fresh = list({stem for stem, _ in parts.values() if stem not in stems})
+        for at in range(0, len(fresh), 2048):
+            stems.update(zip(fresh[at:at + 2048], self._stems_by_library(fresh[at:at + 2048])))
+        fresh = list({mark for _, mark in parts.values() if mark not in marks})
+        marks.update(zip(fresh, self._by_library(fresh)))
+        other = [w for w in words if w not in parts]
+        for at in range(0, len(other), 2048):
+            self.seen.update(zip(other[at:at + 2048], self._by_library(other[at:at + 2048])))
+        self.seen.update({w: stems[stem] + marks[mark] for w, (stem, mark) in parts.items()})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > self.keep:
-            self.seen.clear()
-        seen = self.seen
+        for memory in (self.seen, self.stems, self.marks):
+            if len(memory) > self.keep:
+                memory.clear()
         split = [t.encode().lower().split() for t in texts]  # bytes: ASCII only, as the library would
-        fresh = list({w for words in split for w in words if w not in seen})
-        for at in range(0, len(fresh), 2048):
-            self._learn(fresh[at:at + 2048])
-        return [b"".join([seen[w] for w in words]) for words in split]
+        got = [list(map(self.seen.get, words)) for words in split]
+        open_ = [(words, ids) for words, ids in zip(split, got) if None in ids]
+        self._learn(list({w for words, ids in open_ for w, i in zip(words, ids) if i is None}))
+        for words, ids in open_:
+            ids[:] = [self.seen[w] if i is None else i for w, i in zip(words, ids)]
+        return [b"".join(ids) for ids in got]
