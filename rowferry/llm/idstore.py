@@ -1,11 +1,11 @@
 """Token ids in binary shards with a minimal perfect hash index.
 
 A shard file is a run of blocks in ascending key order. A block is
-  magic, block number, documents, distinct keys, hash buckets, ids (6 x u64)
+  magic, block number, documents, distinct keys, hash buckets, ids, bytes of an id (7 x u64)
   displacements of the hash buckets (u32)
   index, one slot for each distinct key: fingerprint, first record (2 x u32)
   records in key order: key (i64), first id in the block (u64), ids (u32), key is null (u32)
-  ids (u32), all little-endian, and one line end.
+  ids (u16, or u32 for vocabularies beyond 65,536), all little-endian, and one line end.
 The index has no empty slots and stores no keys: a key's hash bucket gives the
 displacement that sends every key of the bucket to a slot of its own, and the
 stored fingerprint rejects keys that are not there (the record's key settles it).
@@ -40,7 +40,7 @@ BLOCK_IDS = 1 << 18
 #: Bytes of text for which a shard is planned.
 SHARD_BYTES = 16 << 20
 MAGIC = 0x3153444946454952
-HEAD = struct.Struct("<6Q")
+HEAD = struct.Struct("<7Q")
 RECORD = np.dtype([("key", "<i8"), ("at", "<u8"), ("n", "<u4"), ("null", "<u4")])
 SLOT = np.dtype([("fingerprint", "<u4"), ("record", "<u4")])
 KEYS_PER_BUCKET = 4
@@ -101,8 +101,8 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mixed(keys, PRINT_SALT) >> np.uint64(32)).astype("<u4")
 
 
-def write_block(number: int, docs: list[tuple[int | None, bytes]]) -> bytes:
-    """The bytes of one block for (key, ids) in key order."""
+def write_block(number: int, docs: list[tuple[int | None, bytes]], width: int = 4) -> bytes:
+    """The bytes of one block for (key, ids as u32) in key order; width is the bytes of a stored id."""
     records = np.zeros(len(docs), RECORD)
     records["null"] = [k is None for k, _ in docs]
     records["key"] = [0 if k is None else k for k, _ in docs]
@@ -114,16 +114,16 @@ def write_block(number: int, docs: list[tuple[int | None, bytes]]) -> bytes:
     index = np.zeros(len(keys), SLOT)
     slots = table.slots(keys)
     index["fingerprint"][slots], index["record"][slots] = fingerprints(keys), live[first]
-    payload = b"".join([ids for _, ids in docs])
-    head = HEAD.pack(MAGIC, number, len(docs), len(keys), len(table.displacements), len(payload) // 4)
-    return b"".join([head, table.displacements.tobytes(), index.tobytes(), records.tobytes(), payload])
+    payload = np.frombuffer(b"".join([ids for _, ids in docs]), "<u4").astype(f"<u{width}")
+    head = HEAD.pack(MAGIC, number, len(docs), len(keys), len(table.displacements), len(payload), width)
+    return b"".join([head, table.displacements.tobytes(), index.tobytes(), records.tobytes(), payload.tobytes()])
 
 
 class Block:
-    """One block read from bytes; ids are slices of them."""
+    """One block read from bytes; a document's ids are a slice of them."""
 
     def __init__(self, data: bytes, at: int):
-        magic, self.number, docs, keys, buckets, ids = HEAD.unpack_from(data, at)
+        magic, self.number, docs, keys, buckets, ids, self.width = HEAD.unpack_from(data, at)
         if magic != MAGIC:
             raise ValueError(f"no block starts at byte {at}")
         at += HEAD.size
@@ -133,7 +133,7 @@ class Block:
         at += SLOT.itemsize * keys
         self.records = np.frombuffer(data, RECORD, docs, at)
         self.at = at + RECORD.itemsize * docs
-        self.data, self.n_ids, self.end = data, ids, self.at + 4 * ids + 1
+        self.data, self.n_ids, self.end = data, ids, self.at + self.width * ids + 1
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Each key's first record, -1 where the block has none."""
@@ -145,10 +145,11 @@ class Block:
         found[here] = np.where(self.records["key"][found[here]] == keys[here], found[here], -1)
         return found
 
-    def ids(self, record: int) -> memoryview:
+    def ids(self, record: int) -> bytes:
+        """As u32."""
         r = self.records[record]
-        start = self.at + 4 * int(r["at"])
-        return memoryview(self.data)[start:start + 4 * int(r["n"])]
+        start = self.at + self.width * int(r["at"])
+        return np.frombuffer(self.data, f"<u{self.width}", int(r["n"]), start).astype("<u4").tobytes()
 
     def rows(self, keys: np.ndarray) -> Iterator[int]:
         """All records of these keys, found through the index."""
@@ -184,6 +185,7 @@ def write_ids(
     def task(batches):
         encoder = WordEncoder.of(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
+        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
 
         def blocks():
             held, ids, number = [], 0, 0
@@ -192,10 +194,10 @@ def write_ids(
                 held.append((key, data))
                 ids += len(data) // 4
                 if ids >= block_ids:
-                    yield (write_block(number, held),)
+                    yield (write_block(number, held, width),)
                     held, ids, number = [], 0, number + 1
             if held:
-                yield (write_block(number, held),)
+                yield (write_block(number, held, width),)
 
         schema = pa.schema([("block", pa.binary())])
         return row_batches(blocks(), schema, lambda r: len(r[0]))
@@ -228,7 +230,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 for r in [*null.tolist(), *block.rows(wanted)]:
                     record = block.records[r]
                     key = None if record["null"] else int(record["key"])
-                    yield shard, block.number, key, int(record["at"]), bytes(block.ids(r))
+                    yield shard, block.number, key, int(record["at"]), block.ids(r)
 
     def task(batches):
         return row_batches(rows(batches), schema, lambda r: len(r[4]) + 64)
@@ -291,7 +293,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_
         for data, keys_ in pairs(batches):
             for block in blocks_of(data):
                 for r in block.rows(np.array(keys_, np.int64)):
-                    yield int(block.records["key"][r]), bytes(block.ids(r))
+                    yield int(block.records["key"][r]), block.ids(r)
 
     files = _files(spark, path).join(wanted, "shard").select("content", "keys")
     return files.mapInArrow(
