@@ -54,7 +54,7 @@ def first_wins(
     """The first row of each complete key, and every row without one.
 
     Folding starts before the shuffle, so a hot key sends one row per task.
-    Rows without a key are their own group (told apart by their order).
+    Rows without a key are a group of their own each, also where their order ties.
     """
     complete = keys[0].isNotNull()
     for k in keys[1:]:
@@ -63,7 +63,7 @@ def first_wins(
     folded = (
         rows.select(
             *[k.alias(n) for k, n in zip(keys, names)],
-            F.when(~complete, order_key(order_by)).alias("__solo"),
+            F.when(~complete, F.monotonically_increasing_id()).alias("__solo"),
             F.struct(*[F.col(quoted(c)) for c in rows.columns]).alias("__v"),
             order_key(order_by).alias("__o"),
         )

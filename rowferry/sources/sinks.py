@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 
 from rowferry.errors import ConfigError
@@ -40,8 +43,11 @@ def publish_snapshot(
     ``touched_only`` replaces only the partitions present in ``df``, so a merge
     that touches few partitions does not rewrite the whole table. A partition that
     lost all its rows is not present in ``df`` and would stay: replace the whole
-    table after deletes, or drop such partitions.
+    table after deletes, or drop such partitions. A frame that reads the target is
+    refused: overwriting would delete its source. Write it to scratch first.
     """
+    if _reads(df, target):
+        raise ConfigError(f"the snapshot reads {target}, which it would replace; materialize it first")
     writer = df.write.mode("overwrite")
     if touched_only:
         if not partition_by:
@@ -52,6 +58,15 @@ def publish_snapshot(
     writer.parquet(target) if "/" in target else writer.saveAsTable(target)
 
 
+def _reads(df: DataFrame, target: str) -> bool:
+    if "/" in target:
+        folder = f"/{target.split(':', 1)[-1].strip('/')}/"
+        return any(folder in re.sub("/+", "/", unquote(f)) for f in df.inputFiles())
+    catalog = df.sparkSession.catalog
+    stored = df.sparkSession.table(target).inputFiles() if catalog.tableExists(target) else []
+    return bool(set(stored) & set(df.inputFiles()))
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header in every file; numbers and dates in their display form."""
     shown = df.select(
