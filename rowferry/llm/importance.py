@@ -99,7 +99,8 @@ def resample(
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
     )
     known = targets(labels)
-    flagged = rows.join(known.where("target"), "doc_id", "left")
+    # Always the same plan: broadcast at one size and sorted at another, its cost could not be foreseen.
+    flagged = rows.join(known.where("target").hint("merge"), "doc_id", "left")
     ratios = log_ratios(counts(flagged.withColumn("target", F.coalesce("target", F.lit(False)))))
     if share is None:
         share = known.agg(F.avg(F.col("target").cast("int"))).first()[0]
