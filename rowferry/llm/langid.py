@@ -6,7 +6,7 @@ softmax over both states label every byte; a document's probabilities are the
 mean over its letter bytes, of the whole text.
 
 Training is numpy backpropagation through time on the driver, over a bounded
-sample: SAMPLE_DOCS documents of each language, at most SAMPLE_WINDOWS windows
+sample: SAMPLE_DOCS documents of each language, at most SAMPLE_WINDOWS distinct windows
 each, taken all over the text. The sample is chosen by hashes of the ids, so it
 does not depend on how rows are dealt. Prediction is a map over all documents
 without a shuffle.
@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowferry.llm.common import id_and_text, pairs, row_batches
@@ -171,10 +171,10 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
         F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).alias("text"),
     ).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    # Only ids and languages are ranked, and each task hands on per_language rows of a language at most.
-    order = F.row_number().over(_by_hash())
-    picked = rows.select("lang", "doc_id").withColumn("n", order).where(F.col("n") <= per_language)
-    chosen = rows.join(F.broadcast(picked.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
+    # Only distinct ids and languages are ranked, and each task hands on per_language of a language at most.
+    order = F.row_number().over(_by_hash("doc_id"))
+    picked = rows.select("lang", "doc_id").distinct().withColumn("n", order).where(F.col("n") <= per_language)
+    chosen = rows.join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"])
     schema = pa.schema([("lang", pa.string()), ("window", pa.binary())])
 
     def task(batches):
@@ -187,7 +187,10 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
 
         return row_batches(cut(), schema)
 
-    found = chosen.select("lang", "text").mapInArrow(task, "lang string, window binary").collect()
+    # An id that many rows share brings more windows than one document; the sample's bound holds all the same.
+    found = chosen.select("lang", "text").mapInArrow(task, "lang string, window binary").distinct()
+    order = F.row_number().over(_by_hash("window"))
+    found = found.withColumn("n", order).where(F.col("n") <= per_language * SAMPLE_WINDOWS).collect()
     found.sort(key=lambda r: (r[0], bytes(r[1])))
     languages = sorted({r[0] for r in found})
     number = {lang: i for i, lang in enumerate(languages)}
@@ -195,10 +198,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     return data, np.array([number[r[0]] for r in found], np.int64), languages
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+def _by_hash(column: str):
+    return Window.partitionBy("lang").orderBy(F.xxhash64(column), column)
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = SAMPLE_DOCS) -> Network:

@@ -167,6 +167,8 @@ def test_language(spark, odd, none):
     empty = langid.fit(none)
     assert {r.lang_pred for r in langid.predict(odd, empty).collect()} == {"und"}
     # Slopes of the loss against differences.
+    shared = spark.range(400).selectExpr("0L doc_id", "concat(repeat(concat('row ', id, ' of one id '), 20)) text", "'en' lang")
+    assert len(langid.sample(shared, "doc_id", "text", "lang", 3)[0]) == 3 * langid.SAMPLE_WINDOWS
     small = langid.Network.fresh(["a", "b"], 3)
     for part in (small.tables, small.recurrent, small.outputs):
         part[:] = [p.astype(np.float64) for p in part]
