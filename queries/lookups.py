@@ -200,6 +200,19 @@ def lookup_const_key(spark, sf_dir):
     return _plan(spark, work).inserts()
 
 
+@query(
+    "lookup_const_only",
+    """select o_orderkey as order_id, (select max_by(c_name, c_custkey) from customer
+         where c_mktsegment = 'BUILDING') as label from orders""",
+)
+def lookup_const_only(spark, sf_dir):
+    """Every source row meets the last lookup row that the constant names."""
+    work = _orders(spark, sf_dir).lookup(
+        table(spark, sf_dir, "customer"), "c", [(lit("building"), "c.c_mktsegment")], order_by="c_custkey",
+    ).add({"order_id": col("o_orderkey"), "label": col("c.c_name")})
+    return _plan(spark, work).inserts()
+
+
 @query(
     "where_after_lookup",
     """select 'good' as outcome, count(*) as n_rows from orders join accounts on o_custkey = id

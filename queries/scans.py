@@ -14,6 +14,7 @@ from rowferry.sources.tables import (
     describe_columns,
     limit_rows,
     preview,
+    query_fingerprint,
     read_query,
     read_table,
     rows_to_json,
@@ -54,6 +55,41 @@ def scan_csv_line_numbers(spark, sf_dir):
     return lines.select("line", F.col("c_custkey").cast("bigint").alias("c_custkey"), "note")
 
 
+# Short, wide, one-cell and blank records by turns; the second form has a quoted line end.
+_RAGGED = """case pmod(c_custkey, 4) when 0 then concat(c_custkey, ',', {name})
+    when 1 then concat(c_custkey, ',', {name}, ',', c_mktsegment, ',extra')
+    when 2 then cast(c_custkey as string) else '  ' end"""
+_RAGGED_FORMS = (
+    ("header", True, None, "c_name"), ("bare", False, None, "c_name"),
+    ("utf16", False, "UTF-16LE", "c_name"), ("quoted", False, None, "concat('\"', c_name, '\\n\"')"),
+)
+
+
+@query(
+    "scan_csv_ragged",
+    """select form, case when m < 3 then c_custkey end as k,
+         case when m < 2 then c_name end as name, case when m = 1 then c_mktsegment end as segment,
+         case when m = 1 then 'extra' end as more
+       from (select *, c_custkey % 4 as m from customer),
+         (values ('header'), ('bare'), ('utf16'), ('quoted')) as f(form)""",
+)
+def scan_csv_ragged(spark, sf_dir):
+    """Cells beyond the header or the first record stay, and so do records of blanks."""
+    out = None
+    for form, header, encoding, name in _RAGGED_FORMS:
+        path = scratch_path(spark, f"ragged-{form}")
+        lines = table(spark, sf_dir, "customer").select(F.expr(_RAGGED.format(name=name)).alias("k,name"))
+        plain = {"header": header, "quote": "", "sep": "\x01", "ignoreLeadingWhiteSpace": False,
+                 "ignoreTrailingWhiteSpace": False, "encoding": encoding or "UTF-8"}
+        lines.write.text(path) if form == "quoted" else lines.write.options(**plain).csv(path)
+        cells = read_csv(spark, path, encoding=encoding, has_header=header)
+        texts = [F.trim(F.col(f"`{c}`.text"), F.lit("\n")) for c in cells.columns]
+        read = cells.select(F.lit(form).alias("form"), *texts).toDF("form", "k", "name", "segment", "more")
+        read = read.withColumn("k", F.col("k").cast("bigint"))
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
 @query("scan_csv_encoding", "select c_custkey, concat('客戶', c_name) as name from customer")
 def scan_csv_encoding(spark, sf_dir):
     spark.conf.set("spark.sql.legacy.javaCharsets", "true")
@@ -281,6 +317,21 @@ def limit_rows_query(spark, sf_dir):
     return limit_rows(orders, 500, [F.col("o_totalprice").desc(), F.col("o_orderkey")])
 
 
+def _checksum_sql(name: str) -> str:
+    """``content_checksum`` in SQL: the first 15 hex digits of each row's MD5, summed up."""
+    cells = []
+    for c in _CATALOG[name].split():
+        text = f"regexp_replace(cast({c} as varchar), '[.]0$', '')" if c in _DOUBLES else f"cast({c} as varchar)"
+        cells.append(f"coalesce(concat('=', {text}), '')")
+    number = f"('0x' || substr(md5(concat({', chr(31), '.join(cells)})), 1, 15))::bigint"
+    return f"""select count(*) as n_rows,
+        cast(coalesce(sum(cast({number} as hugeint)), 0) as varchar) as checksum from {name}"""
+
+
+_DOUBLES = "c_acctbal o_totalprice l_quantity l_extendedprice l_discount l_tax".split()
+_WATCHED = {name: f"select * from {name}" for name in ("customer", "orders", "lineitem")}
+
+
 @query("source_fingerprint")
 def source_fingerprint(spark, sf_dir):
     """SHA-256 of every given file; SQL has no view of the files' bytes."""
@@ -288,11 +339,27 @@ def source_fingerprint(spark, sf_dir):
     return files.select(F.substring_index("path", "/", -1).alias("file"), "sha256")
 
 
-@query("content_checksum")
+@query("content_checksum", _checksum_sql("lineitem"))
 def content_checksum_query(spark, sf_dir):
     return content_checksum(table(spark, sf_dir, "lineitem"))
 
 
+@query("source_fingerprint_query", " union all ".join(
+    f"""select '{name}' as source, sha256(concat('sf', chr(10), '{text}')) as fingerprint,
+          n_rows, checksum from ({_checksum_sql(name)})""" for name, text in _WATCHED.items()
+))
+def source_fingerprint_query(spark, sf_dir):
+    """A query source's fingerprint, and the digest of the rows it stands for."""
+    out = None
+    for name, text in _WATCHED.items():
+        rows = read_query(spark, text.replace(name, "{" + name + "}"), {name: table(spark, sf_dir, name)})
+        part = content_checksum(rows).select(
+            F.lit(name).alias("source"), F.lit(query_fingerprint("sf", text)).alias("fingerprint"), "*"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     "rows_to_json",
     """select event_id, cast(to_json(struct_pack(event_id := event_id,

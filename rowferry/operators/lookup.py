@@ -168,22 +168,24 @@ def attach_lookup(
         resolve_name(table.columns, c, what) for c in lookup.columns
     ]
     sides = [comparable(p, own[k])[:2] for p, k in zip(probes, key_names)]
+    values = [own[c].column.alias(f"c{i}") for i, c in enumerate(wanted)] or [F.lit(True).alias("c")]
+    order = [F.col(f"`{o}`") for o in lookup.order_by]
+
+    # Sides without a source column are conditions on the lookup alone.
+    fixed = [i for i, (e, _) in enumerate(lookup.on) if not e.refs() and not e.whole_row()]
+    for i in fixed:
+        table = table.where(sides[i][0] == sides[i][1])
+    keyed = [s for i, s in enumerate(sides) if i not in fixed]
 
     tag = f"__k{len(scope.aliases)}"
-    folded = last_per_key(
-        table,
-        {f"k{i}": right for i, (_, right) in enumerate(sides)},
-        [own[c].column.alias(f"c{i}") for i, c in enumerate(wanted)] or [F.lit(True).alias("c")],
-        [F.col(f"`{o}`") for o in lookup.order_by],
-    ).withColumnRenamed("v", tag)
-    joined = keyed_join(
-        df,
-        [left for left, _ in sides],
-        folded,
-        [f"k{i}" for i in range(len(sides))],
-        "left",
-        salt,
-    )
+    if keyed:
+        keys = {f"k{i}": right for i, (_, right) in enumerate(keyed)}
+        folded = last_per_key(table, keys, values, order).withColumnRenamed("v", tag)
+        joined = keyed_join(df, [left for left, _ in keyed], folded, list(keys), "left", salt)
+    else:
+        # One row answers all: a scalar, NULL where nothing is left.
+        last = table.agg(F.max_by(F.struct(*values), order_key(order)).alias(tag))
+        joined = df.select("*", last.scalar().alias(tag))
     columns = {
         c.lower(): Value(F.col(tag)[f"c{i}"], own[c].kind) for i, c in enumerate(wanted)
     }

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowferry import messages as M
 from rowferry.errors import ConfigError, SourceError
 from rowferry.functions.sniff import sniff_cells
+from rowferry.functions.text import display
 from rowferry.scratch import materialize
+from rowferry.types import Kind, quoted, values_of
 
 # File endings read as CSV (always with commas), and workbook endings.
 CSV_ENDINGS = ("csv", "txt", "tsv")
@@ -19,6 +21,11 @@ WORKBOOK_ENDINGS = ("xlsx", "xlsm", "xls", "xlsb", "ods")
 _FIELD = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
 _WHOLE_RECORD = rf"^{_FIELD}(?:,{_FIELD})*+$"
 _QUOTED_FIELD = r'"(?:[^"]++|"")*+"'
+_BLANK_LINE = r"^[\x01-\x20]+$"
+_UNFIT = "__ferry_unfit"
+
+# Byte-order marks, the longer ones first. The line reader itself takes that of UTF-8 off.
+_MARKS = (("FFFE0000", "UTF-32"), ("0000FEFF", "UTF-32"), ("FFFE", "UTF-16"), ("FEFF", "UTF-16"))
 
 
 def check_ending(path: str) -> None:
@@ -48,21 +55,47 @@ def _reader(spark: SparkSession, encoding: str | None, multi_line: bool, header:
 
 
 def profile_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(whole_records, width)``: can the file be split at line ends, and how wide is it?
+    """``(whole_records, blank_records, width)``: how may the file be split, and how wide is it?
 
-    One distributed pass over the raw lines. Commas, quotes and line ends are
+    ``whole_records``: no record crosses a line end. ``blank_records``: a line holds nothing
+    but blanks. One distributed pass over the raw lines. Commas, quotes and line ends are
     single ASCII bytes in every encoding except UTF-16/32, so no decoding is needed.
     """
     line = F.col("value")
-    bare = F.regexp_replace(line, _QUOTED_FIELD, "")
-    commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
     quoted = F.contains(line, F.lit('"'))
     return spark.read.text(path).agg(
         F.coalesce(F.every(~quoted | line.rlike(_WHOLE_RECORD)), F.lit(True)).alias("whole_records"),
-        (F.coalesce(F.max(commas), F.lit(-1)) + 1).cast("int").alias("width"),
+        F.coalesce(F.some(line.rlike(_BLANK_LINE)), F.lit(False)).alias("blank_records"),
+        _cells(line).alias("width"),
     )
 
 
+def _cells(record: Column) -> Column:
+    """Most cells in one record, as an aggregate; 0 without records."""
+    bare = F.regexp_replace(record, _QUOTED_FIELD, "")
+    commas = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+    return (F.coalesce(F.max(commas), F.lit(-1)) + 1).cast("int")
+
+
+def _surplus_width(reader: DataFrameReader, path: str, width: int) -> int:
+    """Cells of the widest record: those that do not fit the width come back as text."""
+    schema = _text_schema(width).add(_UNFIT, T.StringType())
+    unfit = reader.options(columnNameOfCorruptRecord=_UNFIT, columnPruning=False).schema(schema).csv(path)
+    # Counting a cell makes Spark parse the records; it refuses to return misfits alone.
+    return max(width, unfit.agg(_cells(F.col(_UNFIT)).alias("n"), F.count("c0")).first()["n"])
+
+
+def _text_schema(width: int) -> T.StructType:
+    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+
+
+def marked_encoding(spark: SparkSession, path: str) -> str | None:
+    """The encoding that a byte-order mark of UTF-16 or UTF-32 names at the start of the first file."""
+    row = spark.read.text(path).select(F.hex(F.substring(F.col("value").cast("binary"), 1, 4)).alias("head")).first()
+    head = row["head"] if row else ""
+    return next((name for mark, name in _MARKS if head.startswith(mark)), None)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -75,26 +108,31 @@ def read_csv(
 ) -> DataFrame:
     """A CSV file or folder as cells (``typed``) or raw text.
 
+    The frame is as wide as the widest record, ``n_columns`` at least: cells
+    beyond the header get numbered names, shorter records NULLs. Empty lines are
+    skipped, a line of blanks is a record. A byte-order mark goes before ``encoding``.
     ``multi_line=None`` looks at the lines first: a file whose records never
-    cross a line end is split over tasks, only the others are read file by file.
-    Rows shorter than the header get NULLs; ``n_columns`` keeps cells beyond it.
+    cross a line end is split over tasks; the others, and files with lines of
+    blanks, are read file by file.
     ``row_no`` adds line numbers (the header is line 1).
     """
-    width = n_columns or 0
+    encoding = marked_encoding(spark, path) or encoding
     if _wide_encoding(encoding):
         multi_line = True
-    if multi_line is None or (not has_header and not n_columns and not multi_line):
+    width = n_columns or 0
+    if not multi_line:
         profile = profile_lines(spark, path).first()
-        multi_line = not profile["whole_records"] if multi_line is None else multi_line
-        if not has_header and not n_columns:
-            width = profile["width"]
+        # A split file is read line by line, and lines of blanks are left out there.
+        multi_line = profile["blank_records"] or (multi_line is None and not profile["whole_records"])
+        width = max(width, profile["width"])
     first = _reader(spark, encoding, multi_line, False).csv(path)
     width = max(width, len(first.columns))
     if width == 0:
         raise SourceError(f"no rows in {path}")
+    if multi_line:
+        width = _surplus_width(_reader(spark, encoding, True, False), path, width)
     names = column_names(first if has_header else None, width)
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    raw = _reader(spark, encoding, multi_line, has_header).schema(schema).csv(path)
+    raw = _reader(spark, encoding, multi_line, has_header).schema(_text_schema(width)).csv(path)
     if row_no:
         raw = _with_line_no(raw, 2 if has_header else 1, row_no)
     df = raw.toDF(*([row_no] if row_no else []), *names)
@@ -183,9 +221,18 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
 
 
 def content_checksum(df: DataFrame) -> DataFrame:
-    """``(n_rows, checksum)``: order-free digest of all rows, one partial aggregate."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(20,0)")
+    """``(n_rows, checksum)``: order-free digest of all rows, one partial aggregate.
+
+    A row is its values' text (bytes as hex), an equals sign before each that is not NULL,
+    parted by unit separators; the first 15 hex digits of the rows' MD5 are summed up.
+    """
+    shown = {n: v.column.cast("string") if v.kind is Kind.DATETIME else display(v) for n, v in values_of(df).items()}
+    for f in df.schema:
+        if isinstance(f.dataType, T.BinaryType):
+            shown[f.name] = F.hex(F.col(quoted(f.name)))
+    cells = [F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in shown.values()]
+    number = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *cells)), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(row), F.lit(0)).cast("string").alias("checksum"),
+        F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("checksum"),
     )

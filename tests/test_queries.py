@@ -7,7 +7,7 @@ from oracle import compare, duck
 from __spark_entry__ import entry, oracle_sql, queries
 from queries import QUERIES
 
-ROWS_ONLY = {"source_fingerprint", "content_checksum"}
+ROWS_ONLY = {"source_fingerprint"}
 
 
 @pytest.fixture(scope="session")

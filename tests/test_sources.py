@@ -43,21 +43,38 @@ def raw(spark, path, **options):
     return [tuple(r) for r in read_csv(spark, path, typed=False, **options).collect()]
 
 
-def test_ragged_quoted_and_blank_lines(spark, folder):
-    path = write(folder, "a.csv", 'a,b,c\n1,"x, ""y""",\n\n2\n3,4,5,6\n')
-    assert raw(spark, path) == [("1", 'x, "y"', None), ("2", None, None), ("3", "4", "5")]
-    assert raw(spark, path, n_columns=4)[2] == ("3", "4", "5", "6")
-    df = read_csv(spark, path, has_header=False, typed=False)
-    assert df.columns == ["欄位1", "欄位2", "欄位3", "欄位4"] and df.count() == 4
+RAGGED = 'a,b,c\n1,"x, ""y""",\n\n2\n  \n3,4,5,6\n'
+
+
+@pytest.mark.parametrize("python, encoding", [("utf-8", None), ("utf-16-le", "UTF-16LE"), ("utf-16", None)])
+def test_ragged_quoted_and_blank_lines(spark, folder, python, encoding):
+    """Surplus cells and lines of blanks stay, empty lines go; a byte-order mark is enough to know UTF-16."""
+    path = write(folder, "a.csv", RAGGED, python)
+    want = [("1", 'x, "y"', None, None), ("2", None, None, None), ("  ", None, None, None), ("3", "4", "5", "6")]
+    assert raw(spark, path, encoding=encoding) == want
+    df = read_csv(spark, path, encoding=encoding)
+    assert df.columns == ["a", "b", "c", "欄位4"] and df.collect()[2] == (None,) * 4
+    assert len(raw(spark, path, encoding=encoding, n_columns=6)[0]) == 6
+    df = read_csv(spark, path, encoding=encoding, has_header=False, typed=False)
+    assert df.columns == ["欄位1", "欄位2", "欄位3", "欄位4"] and df.count() == 5
+
+
+@pytest.mark.parametrize("multi_line", [None, True, False])
+def test_later_records_may_be_wider(spark, folder, multi_line):
+    path = write(folder, "w.csv", 'a,b\n1,2\n3,4,"5,5",6\n   \n')
+    assert raw(spark, path, multi_line=multi_line) == [
+        ("1", "2", None, None), ("3", "4", "5,5", "6"), ("   ", None, None, None)]
+    assert len(raw(spark, path, multi_line=multi_line, has_header=False)) == 4
 
 
 def test_quoted_line_ends_are_found(spark, folder):
     whole = write(folder, "whole.csv", 'a,b\n1,"x"\n2,y\n')
-    broken = write(folder, "broken.csv", 'a,b\n1,"x\ny"\n2,z\n')
-    assert profile_lines(spark, whole).first() == (True, 2)
+    broken = write(folder, "broken.csv", 'a,b\n1,"x\ny"\n2,z\n3,"p\nq",r\n')
+    assert profile_lines(spark, whole).first() == (True, False, 2)
     assert not profile_lines(spark, broken).first()["whole_records"]
     df = read_csv(spark, broken, typed=False, row_no="line")
-    assert [tuple(r) for r in df.orderBy("line").collect()] == [(2, "1", "x\ny"), (3, "2", "z")]
+    assert [tuple(r) for r in df.orderBy("line").collect()] == [
+        (2, "1", "x\ny", None), (3, "2", "z", None), (4, "3", "p\nq", "r")]
 
 
 @pytest.mark.parametrize("encoding, python", [("Big5", "big5"), ("GBK", "gbk"), ("UTF-16LE", "utf-16-le"), ("UTF-8", "utf-8")])
@@ -112,6 +129,9 @@ def test_fingerprints(spark, folder):
     df = spark.range(100).toDF("x")
     assert content_checksum(df).first() == content_checksum(df.orderBy(F.desc("x"))).first()
     assert content_checksum(df).first() != content_checksum(df.where("x < 99")).first()
+    forms = ["select null a, 'b' b", "select '' a, 'b' b", "select 'b' a, null b", "select 'b' a, '' b", "select x'00' a, 'b' b",
+             "select x'01' a, 'b' b", "select array(1, 2) a, 'b' b", "select array(1, 3) a, 'b' b"]
+    assert len({content_checksum(spark.sql(q)).first()["checksum"] for q in forms}) == len(forms)
 
 
 def test_choice_of_source(spark, folder):
