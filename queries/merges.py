@@ -111,7 +111,9 @@ def merge_update(spark, sf_dir):
 )
 def merge_update_last_wins(spark, sf_dir):
     plan = _work(spark, sf_dir).on(ON).matched_update(UPD).plan(_target(spark, sf_dir))
-    return plan.changes().select(F.col("k0").alias("email_key"), F.col("v.label").alias("label"))
+    return plan.changes().select(
+        F.col("__ferry_k0").alias("email_key"), F.col("__ferry_v.label").alias("label")
+    )
 
 
 @query(

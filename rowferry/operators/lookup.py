@@ -88,7 +88,7 @@ def order_key(columns: list[str] | list[Column]) -> Column:
 def last_per_key(
     df: DataFrame, keys: dict[str, Column], values: list[Column], order_by: list
 ) -> DataFrame:
-    """One row per complete key: ``v``, the struct of the last row's values."""
+    """One row per complete key: ``__ferry_v``, the struct of the last row's values."""
     return _fold(df, keys, values, order_by, F.max_by)
 
 
@@ -108,7 +108,7 @@ def _fold(df, keys, values, order_by, pick) -> DataFrame:
             order_key(order_by).alias("__o"),
         )
         .groupBy(*keys)
-        .agg(pick("__v", "__o").alias("v"))
+        .agg(pick("__v", "__o").alias("__ferry_v"))
     )
 
 
@@ -179,8 +179,8 @@ def attach_lookup(
 
     tag = f"__k{len(scope.aliases)}"
     if keyed:
-        keys = {f"k{i}": right for i, (_, right) in enumerate(keyed)}
-        folded = last_per_key(table, keys, values, order).withColumnRenamed("v", tag)
+        keys = {f"__ferry_k{i}": right for i, (_, right) in enumerate(keyed)}
+        folded = last_per_key(table, keys, values, order).withColumnRenamed("__ferry_v", tag)
         joined = keyed_join(df, [left for left, _ in keyed], folded, list(keys), "left", salt)
     else:
         # One row answers all: a scalar, NULL where nothing is left.

@@ -18,7 +18,7 @@ def mark_matches(
     name: str = "__match",
 ) -> DataFrame:
     """Add a flag: does the target hold this key? Only the target's keys are read."""
-    names = [f"k{i}" for i in range(len(target_keys))]
+    names = [f"__ferry_k{i}" for i in range(len(target_keys))]
     known = distinct_keys(target, target_keys, names).withColumn(name, F.lit(True))
     joined = keyed_join(rows, row_keys, known, names, "left", salt)
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(False)))
@@ -35,7 +35,7 @@ def matched_rows(
     rows: DataFrame, row_keys: list[Column], target: DataFrame, target_keys: list[Column]
 ) -> DataFrame:
     """Rows whose key the target holds; rows without a key never match."""
-    names = [f"k{i}" for i in range(len(target_keys))]
+    names = [f"__ferry_k{i}" for i in range(len(target_keys))]
     return keyed_join(rows, row_keys, distinct_keys(target, target_keys, names), names, "left_semi")
 
 
@@ -43,7 +43,7 @@ def unmatched_rows(
     rows: DataFrame, row_keys: list[Column], target: DataFrame, target_keys: list[Column],
     salt: Column,
 ) -> DataFrame:
-    names = [f"k{i}" for i in range(len(target_keys))]
+    names = [f"__ferry_k{i}" for i in range(len(target_keys))]
     known = distinct_keys(target, target_keys, names)
     return keyed_join(rows, row_keys, known, names, "left_anti", salt)
 
@@ -80,17 +80,17 @@ def apply_updates(
     key_names: list[str],
     columns: list[str],
 ) -> DataFrame:
-    """Target with ``columns`` set from ``changes.v`` where the key matches (at most one change)."""
+    """Target with ``columns`` set from ``changes.__ferry_v`` where the key matches (at most one change)."""
     joined = keyed_join(target, target_keys, changes, key_names, "left", _own_salt(target))
     set_columns = {c.lower(): c for c in columns}
-    changed = changes.schema["v"].dataType
+    changed = changes.schema["__ferry_v"].dataType
     out = []
     for field in target.schema:
         old = F.col(quoted(field.name))
         name = set_columns.get(field.name.lower())
         if name is not None:
-            new = fit(F.col("v")[name], changed[name].dataType, field.dataType)
-            out.append(F.when(F.col("v").isNotNull(), new).otherwise(old).alias(field.name))
+            new = fit(F.col("__ferry_v")[name], changed[name].dataType, field.dataType)
+            out.append(F.when(F.col("__ferry_v").isNotNull(), new).otherwise(old).alias(field.name))
         else:
             out.append(old.alias(field.name))
     return joined.select(*out)

@@ -367,7 +367,7 @@ class WorkPlan:
     # --- updates and deletes ----------------------------------------------
 
     def tagged_changes(self) -> DataFrame:
-        """Matched rows: new values ``v``, match keys ``k*``, stored-form keys ``e*``."""
+        """Matched rows: new values, match keys and stored-form keys, named ``__ferry_…``."""
         if self.changed is not None:
             return self.changed
         source_keys, _ = self._key_sides()
@@ -378,30 +378,30 @@ class WorkPlan:
             v = e.bind(self.scope)
             keys.append((f"__e{i}", c, v, self._target_value(c).kind, True))
         carried = [
-            *[k.alias(f"k{i}") for i, k in enumerate(source_keys)],
+            *[k.alias(f"__ferry_k{i}") for i, k in enumerate(source_keys)],
             *[o.alias(f"__o{i}") for i, o in enumerate(self.order)],
             F.col(ROW),
         ]
         rows = convert_columns(self._rows(action), sets + keys, carried)
         values = [F.col(quoted(name)) for name, *_ in sets] or [F.lit(True).alias("x")]
         return rows.select(
-            *[f"k{i}" for i in range(len(keys))],
-            *[F.col(f"__e{i}").alias(f"e{i}") for i in range(len(keys))],
-            F.struct(*values).alias("v"),
+            *[f"__ferry_k{i}" for i in range(len(keys))],
+            *[F.col(f"__e{i}").alias(f"__ferry_e{i}") for i in range(len(keys))],
+            F.struct(*values).alias("__ferry_v"),
             *[f"__o{i}" for i in range(len(self.order))],
             ROW,
             FAIL,
         )
 
     def changes(self) -> DataFrame:
-        """One change per key: the last source row wins. Columns ``k*`` and ``v``."""
+        """One change per key: the last source row wins. Columns ``__ferry_k*`` and ``__ferry_v``."""
         good = self.tagged_changes().where(F.col(FAIL).isNull())
         prefix = "e" if self.work._match == "exact" else "k"
-        keys = {f"k{i}": F.col(f"{prefix}{i}") for i in range(len(self.work._on))}
+        keys = {f"__ferry_k{i}": F.col(f"__ferry_{prefix}{i}") for i in range(len(self.work._on))}
         if self.work._delete:
             return distinct_keys(good, list(keys.values()), list(keys))
         order = [F.col(f"__o{i}") for i in range(len(self.order))]
-        columns = [F.col("v")[c].alias(c) for c in self._set_names(self.work._update)]
+        columns = [F.col("__ferry_v")[c].alias(c) for c in self._set_names(self.work._update)]
         return last_per_key(good, keys, columns, order)
 
     # --- results -----------------------------------------------------------
@@ -428,7 +428,7 @@ class WorkPlan:
         if not (work._update or work._delete):
             return out
         keys = self._stored_keys()
-        names = [f"k{i}" for i in range(len(keys))]
+        names = [f"__ferry_k{i}" for i in range(len(keys))]
         if work._update:
             return apply_updates(out, keys, self.changes(), names, self._set_names(work._update))
         return apply_deletes(out, keys, self.changes(), names)
@@ -517,7 +517,7 @@ class WorkPlan:
         if work._delete:
             counts.updated = 0
             keys = self._stored_keys()
-            names = [f"k{i}" for i in range(len(keys))]
+            names = [f"__ferry_k{i}" for i in range(len(keys))]
             counts.deleted = keyed_join(
                 self.target, keys, self.changes(), names, "left_semi"
             ).count()

@@ -10,42 +10,42 @@ from rowferry.operators.numbering import running_totals, with_row_no
 from rowferry.plans.mapping_job import aborting_batch
 from rowferry.streaming.batches import BatchJob, batch_progress, rejected_rows, run_batches, written_rows
 
-EMPLOYEES = [(1, "1", "王小明", "50000.5", "true", "2026-01-15"), (2, "2", "李大華", None, "false", "2025/12/01"),
-             (3, "not-a-number", "壞資料", "1", "true", "2026-02-01"), (4, "3", None, "1", "yes", "x")]
-RULES = [Rule(1, "編號", "emp_id", Kind.INTEGER, False), Rule(2, "姓名", "emp_name", Kind.TEXT, False),
-         Rule(3, "薪資", "salary", Kind.FLOAT), Rule(4, "在職", "active", Kind.BOOL), Rule(5, "到職日", "hired", Kind.DATE)]
+CRATES = [(1, "81", "cork", "7.25", "false", "2031-03-09"), (2, "82", "rope", None, "true", "2031/04/10"),
+          (3, "eighty", "tar", "3", "false", "2031-05-11"), (4, "84", None, "3", "maybe", "?")]
+RULES = [Rule(1, "no", "crate", Kind.INTEGER, False), Rule(2, "goods", "goods", Kind.TEXT, False),
+         Rule(3, "weight", "weight", Kind.FLOAT), Rule(4, "sealed", "sealed", Kind.BOOL), Rule(5, "due", "due", Kind.DATE)]
 
 
-def employees(spark, **options):
-    df = spark.createDataFrame(EMPLOYEES, "o int, id string, name string, salary string, active string, hired string")
+def crates(spark, **options):
+    df = spark.createDataFrame(CRATES, "o int, no string, goods string, weight string, sealed string, due string")
     return MappingJob(df, RULES, order_by=["o"], first_row=2, **options)
 
 
 def test_mapping_job(spark, folder):
-    result = run_mapping(employees(spark), f"{folder}/out")
-    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/out").orderBy("emp_id").collect()]
-    assert [r[:4] for r in rows] == [(1, "王小明", 50000.5, True), (2, "李大華", None, False)]
-    assert str(rows[1][4]) == "2025-12-01"
+    result = run_mapping(crates(spark), f"{folder}/out")
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/out").orderBy("crate").collect()]
+    assert [r[:4] for r in rows] == [(81, "cork", 7.25, False), (82, "rope", None, True)]
+    assert str(rows[1][4]) == "2031-04-10"
     assert (result.status, result.total_rows, result.success_rows, result.error_rows) == ("completed", 4, 2, 2)
     assert [tuple(r) for r in result.report().collect()] == [
-        (4, "編號", "無法將「not-a-number」解析為整數"), (5, "姓名", "欄位為空，但 NULL 政策為不允許")]
+        (4, "no", "無法將「eighty」解析為整數"), (5, "goods", "欄位為空，但 NULL 政策為不允許")]
     assert result.summary(spark).first()["success_rows"] == 2
 
 
 def test_all_or_nothing(spark, folder):
-    aborted = run_mapping(employees(spark, policy=ABORT_ON_FIRST, write_mode="all_or_nothing"), f"{folder}/a")
+    aborted = run_mapping(crates(spark, policy=ABORT_ON_FIRST, write_mode="all_or_nothing"), f"{folder}/a")
     assert (aborted.status, aborted.success_rows, aborted.error_rows) == ("aborted", 0, 2)
     assert "全有全無" in aborted.failure
-    even = run_mapping(employees(spark, policy=abort_on_error_rate(50), write_mode="all_or_nothing"), f"{folder}/b")
+    even = run_mapping(crates(spark, policy=abort_on_error_rate(50), write_mode="all_or_nothing"), f"{folder}/b")
     assert (even.status, even.success_rows) == ("completed", 2)  # only above the limit aborts
-    over = run_mapping(employees(spark, policy=abort_on_error_rate(49.9), write_mode="all_or_nothing"), f"{folder}/c")
+    over = run_mapping(crates(spark, policy=abort_on_error_rate(49.9), write_mode="all_or_nothing"), f"{folder}/c")
     assert over.status == "aborted"
 
 
 def test_batches_before_the_failing_one_stay(spark, folder):
-    result = run_mapping(employees(spark, policy=ABORT_ON_FIRST, batch_size=2), f"{folder}/out")
+    result = run_mapping(crates(spark, policy=ABORT_ON_FIRST, batch_size=2), f"{folder}/out")
     assert (result.status, result.success_rows, result.error_rows) == ("aborted", 2, 2)
-    rate = run_mapping(employees(spark, policy=abort_on_error_rate(30), batch_size=1), f"{folder}/rate")
+    rate = run_mapping(crates(spark, policy=abort_on_error_rate(30), batch_size=1), f"{folder}/rate")
     assert (rate.status, rate.success_rows, rate.error_rows) == ("aborted", 2, 1)
     assert rate.failure == "錯誤率 33.3% 超過上限 30%"
 

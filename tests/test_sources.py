@@ -79,10 +79,10 @@ def test_quoted_line_ends_are_found(spark, folder):
 
 @pytest.mark.parametrize("encoding, python", [("Big5", "big5"), ("GBK", "gbk"), ("UTF-16LE", "utf-16-le"), ("UTF-8", "utf-8")])
 def test_encodings(spark, folder, encoding, python):
-    path = write(folder, "e.csv", "姓名,部門\n王小明,財務部\n", python)
+    path = write(folder, "e.csv", "港口,潮汐\n高雄,大潮\n", python)
     df = read_csv(spark, path, encoding=encoding)
-    assert df.columns == ["姓名", "部門"]
-    assert df.first()["部門"]["text"] == "財務部"
+    assert df.columns == ["港口", "潮汐"]
+    assert df.first()["潮汐"]["text"] == "大潮"
 
 
 def test_header_names(spark, folder):

@@ -22,53 +22,49 @@ def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*order).collect()]
 
 
-def test_lookup_join_from_csv(spark, folder):
-    path = write(folder, "users.csv",
-                 "Id,email\nEXT-001,Alice@example.com\nEXT-002,bob@example.com\nEXT-003,nobody@example.com\n")
-    users = read_csv(spark, path, row_no="line")
-    account = spark.createDataFrame([(1, "alice@example.com"), (2, "BOB@example.com")], "Id bigint, email string")
-    target = spark.createDataFrame([], "AccountId int, ExternalId string, ExternalSystemType string")
+def test_lookup_from_csv_ignores_case(spark, folder):
+    path = write(folder, "buoys.csv", "Buoy,station\nN7,Skagen\nS2,unknown\nW4,fanoe\n")
+    buoys = read_csv(spark, path, row_no="line")
+    stations = spark.createDataFrame([(70, "SKAGEN"), (40, "Fanoe"), (10, "Ribe")], "Nr bigint, station string")
+    target = spark.createDataFrame([], "StationNr int, Buoy string, Kind string")
     work = (
-        Work("bind").source(users, "users", order_by="line", row="line")
-        .lookup(account, "account", eq("users.email", col("account.email")), order_by="Id")
-        .into("mappings")
-        .add({"AccountId": col("account.[Id]"), "ExternalId": col("USERS.id"),
-              "ExternalSystemType": "MICROSOFT_ENTRA_ID"})
+        Work("place").source(buoys, "buoys", order_by="line", row="line")
+        .lookup(stations, "st", eq("buoys.station", col("st.station")), order_by="Nr")
+        .into("placed")
+        .add({"StationNr": col("st.[Nr]"), "Buoy": col("BUOYS.buoy"), "Kind": "drifting"})
     )
-    result = run_works(spark, [work], {"mappings": target})
+    result = run_works(spark, [work], {"placed": target})
     assert (result.status, result.total_rows, result.success_rows, result.error_rows) == ("completed", 3, 2, 1)
-    assert rows(result.tables["mappings"], "AccountId") == [
-        (1, "EXT-001", "MICROSOFT_ENTRA_ID"), (2, "EXT-002", "MICROSOFT_ENTRA_ID")]
-    reject = result.report().first()
-    assert (reject["row"], reject["column"]) == (4, "account")
-    assert reject["reason"] == "查表 [account] 查無對應：nobody@example.com"
+    assert rows(result.tables["placed"], "StationNr") == [(40, "W4", "drifting"), (70, "N7", "drifting")]
+    (reject,) = result.report().collect()
+    assert (reject["row"], reject["column"]) == (3, "st") and reject["reason"].endswith("unknown")
 
 
 def test_generators_templates_and_nulls(spark, folder):
-    path = write(folder, "c.csv", "code,nick\nA1,alice\nB2,\n")
+    path = write(folder, "tides.csv", "port,remark\nEsbjerg,spring\nHavneby,\n")
     source = read_csv(spark, path, row_no="line")
-    ref = spark.createDataFrame([("A1", "甲"), ("B2", "乙")], "code string, label string")
+    depth = spark.createDataFrame([("Esbjerg", 9), ("Havneby", 4)], "port string, metres bigint")
     target = spark.createDataFrame(
-        [], "tag string, who string, id string, guid string, hash string, created string, at timestamp_ntz")
-    clock = JobClock(datetime(2026, 6, 12, 1, 2, 3, 4000, timezone.utc))
+        [], "tag string, note string, id string, guid string, hash string, made string, at timestamp_ntz")
+    clock = JobClock(datetime(2031, 2, 3, 4, 5, 6, 7000, timezone.utc))
     work = (
         Work("w").source(source, order_by="line", row="line")
-        .lookup(ref, "r", [("code", "r.code")], order_by="code").into("out")
-        .add({"tag": template("ENTRA:{r.label}/{code}"), "who": concat(col("nick"), "@linkcom"),
+        .lookup(depth, "d", [("port", "d.port")], order_by="port").into("out")
+        .add({"tag": template("{port} at {d.metres} m"), "note": concat("tide: ", col("remark")),
               "id": Gen("ULID"), "guid": Gen("GUID"), "hash": Gen("SHA256"),
-              "created": Gen("DateTime(Text)"), "at": Gen("DateTime")})
+              "made": Gen("DateTime(Text)"), "at": Gen("DateTime")})
     )
-    result = run_works(spark, [work], {"out": target}, clock)
-    got = result.tables["out"].orderBy("tag").collect()
-    again = result.tables["out"].orderBy("tag").collect()
-    assert [(r["tag"], r["who"]) for r in got] == [("ENTRA:乙/B2", "@linkcom"), ("ENTRA:甲/A1", "alice@linkcom")]
-    assert [r["id"] for r in got] == [r["id"] for r in again]  # ids exist once
-    assert len({r["id"] for r in got}) == 2 and all(len(r["id"]) == 26 for r in got)
-    assert all(len(r["guid"]) == 36 and len(r["hash"]) == 64 for r in got)
+    table = run_works(spark, [work], {"out": target}, clock).tables["out"]
+    east, west = table.orderBy("tag").collect()
+    assert (east["tag"], east["note"], west["tag"], west["note"]) == (
+        "Esbjerg at 9 m", "tide: spring", "Havneby at 4 m", "tide: ")
+    assert [r["id"] for r in table.orderBy("tag").collect()] == [east["id"], west["id"]]  # ids exist once
+    assert east["id"] != west["id"] and len(east["id"]) == len(west["id"]) == 26
+    assert (len(west["guid"]), len(west["hash"])) == (36, 64)
     import hashlib
-    assert got[1]["hash"] == hashlib.sha256("2\x1fA1\x1falice".encode()).hexdigest()
-    assert {r["created"] for r in got} == {"2026-06-12 01:02:03"}
-    assert got[0]["at"] == datetime(2026, 6, 12, 1, 2, 3, 4000)
+    assert east["hash"] == hashlib.sha256("2\x1fEsbjerg\x1fspring".encode()).hexdigest()
+    assert east["made"] == west["made"] == "2031-02-03 04:05:06"
+    assert west["at"] == datetime(2031, 2, 3, 4, 5, 6, 7000)
 
 
 def test_ulid_orders_by_time(spark):
