@@ -33,6 +33,8 @@ WINDOW = 64
 HIDDEN = 8
 SAMPLE_DOCS = 300
 SAMPLE_WINDOWS = 6
+#: Groups of a language that are ranked apart before the language is.
+MERGES = 16
 STEPS = 500
 BATCH = 96
 RATE = 0.02
@@ -171,9 +173,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
         F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).alias("text"),
     ).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    # Only distinct ids and languages are ranked, and each task hands on per_language of a language at most.
-    order = F.row_number().over(_by_hash("doc_id"))
-    picked = rows.select("lang", "doc_id").distinct().withColumn("n", order).where(F.col("n") <= per_language)
+    # Only distinct ids and languages are ranked.
+    picked = _first(rows.select("lang", "doc_id").distinct(), "doc_id", per_language)
     chosen = rows.join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"])
     schema = pa.schema([("lang", pa.string()), ("window", pa.binary())])
 
@@ -189,8 +190,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
 
     # An id that many rows share brings more windows than one document; the sample's bound holds all the same.
     found = chosen.select("lang", "text").mapInArrow(task, "lang string, window binary").distinct()
-    order = F.row_number().over(_by_hash("window"))
-    found = found.withColumn("n", order).where(F.col("n") <= per_language * SAMPLE_WINDOWS).collect()
+    found = _first(found, "window", per_language * SAMPLE_WINDOWS).collect()
     found.sort(key=lambda r: (r[0], bytes(r[1])))
     languages = sorted({r[0] for r in found})
     number = {lang: i for i, lang in enumerate(languages)}
@@ -198,8 +198,18 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     return data, np.array([number[r[0]] for r in found], np.int64), languages
 
 
-def _by_hash(column: str):
-    return Window.partitionBy("lang").orderBy(F.xxhash64(column), column)
+def _first(rows: DataFrame, column: str, n: int) -> DataFrame:
+    """The n rows of each language whose column has the smallest hashes.
+
+    Each task hands on n rows of a language at most, a tournament of MERGES groups n each, so the last
+    task of a language reads MERGES * n rows at most, however hot it is.
+    """
+    for keys in (["lang", "part"], ["lang"]):
+        if "part" in keys:
+            rows = rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGES)))
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64(column), column)
+        rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).drop("n")
+    return rows.drop("part")
 
 
 def fit(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = SAMPLE_DOCS) -> Network:

@@ -182,6 +182,16 @@ def test_language(spark, odd, none):
         p[0, 0] += 1e-4
 
 
+def test_language_sample_is_the_same_however_rows_are_dealt(spark):
+    """A hot language over many partitions; the rounds keep what one ranking would."""
+    ids = spark.range(4000).select(F.when(F.col("id") % 10 < 8, "en").otherwise("de").alias("lang"), F.col("id").alias("doc_id"))
+    hashed = ids.withColumn("h", F.xxhash64("doc_id")).collect()
+    expected = {(lang, r.doc_id) for lang in ("en", "de") for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: r.h)[:30]}
+    for n in (1, 37):
+        kept = [tuple(r) for r in langid._first(ids.repartition(n), "doc_id", 30).collect()]
+        assert len(kept) == 60 and set(kept) == expected
+
+
 def test_personal_data(spark, odd, none):
     text = "x@y.z a@b @c.d@e.f +12 345-678 (9)0 k 1.2.3.256 k 1.2.3.4.5 k 4111 1111-1111 1111 k 4111111111111112 +1"
     mail = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
