@@ -202,46 +202,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, print (signed 64-bit fingerprint) and component_id, one row for each row of docs."""
     texts = id_and_text(docs, id_col, text_col)
     marked = materialize(texts.select("doc_id", fingerprints("text").alias("print")), "simhash-prints")
-    classes = marked.groupBy("print").agg(F.min("doc_id").alias("first"))
-    roots = components(links(classes.select("print")))
-    # Roots name themselves; fingerprints without a link are their own root.
-    named = classes.join(roots, classes.print == roots.node, "left").select(
-        "print", "first", F.coalesce("root", "print").alias("root")
-    )
+    named = _rooted(marked.groupBy("print").agg(F.min("doc_id").alias("first")))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     groups = named.join(least, "root").select("print", "component_id")
     return marked.join(groups, "print").select("doc_id", "print", "component_id")
 
 
+def _rooted(classes: DataFrame) -> DataFrame:
+    """classes, one row for each print, with their component's root; prints without a link are their own root."""
+    roots = components(links(classes.select("print")))
+    named = classes.join(roots, classes.print == roots.node, "left")
+    return named.select(*classes.columns, F.coalesce("root", "print").alias("root"))
+
+
 HELPER = "__llm_twin"
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each component: that of the smallest id.
 
-    Rows that share the smallest id are told apart by their text's hash, then
-    any of them stays. Of components without any id one row stays.
+    A component is known by its root fingerprint, as rows of several components
+    can share an id. Rows of one component that share its smallest id are told
+    apart by their text's hash, then any of them stays. Of components without
+    any id one row stays.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = near_duplicates(docs, id_col, text_col)
-    lone = found.where("component_id is null").select("print").distinct()
-    alone = lone.select(F.col("print").alias(f"{HELPER}_print"))
-    twins = found.where("doc_id = component_id").groupBy("doc_id").count()
-    key = F.col(f"`{id_col}`").cast("long")
-    ids = twins.select(F.col("doc_id").alias(f"{HELPER}_id"), (F.col("count") > 1).alias(f"{HELPER}_many"))
-    first = docs.join(ids, key == F.col(f"{HELPER}_id"))
+    texts = id_and_text(docs, id_col, text_col)
+    marked = texts.select("doc_id", fingerprints("text").alias("print"), F.xxhash64("text").alias("hash"))
+    rows = materialize(marked, "simhash-prints").groupBy("print", "doc_id", "hash").agg(F.count("*").alias("n"))
+    # The smallest id, null last; then the smallest hash.
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "n")).alias("best")
+    classes = materialize(rows.groupBy("print").agg(best), "simhash-classes")
+    chosen = _rooted(classes).groupBy("root").agg(F.min("best").alias("best")).select(
+        F.col("root").alias(f"{HELPER}_root"), F.col("best.doc_id").alias(f"{HELPER}_id"),
+        F.col("best.hash").alias(f"{HELPER}_hash"), (F.col("best.n") > 1).alias(f"{HELPER}_many"),
+    )
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(f"{HELPER}_id")) & (
+        F.xxhash64(text) == F.col(f"{HELPER}_hash")
+    )
+    first = docs.join(chosen, same)
     kept = first.where(~F.col(f"{HELPER}_many")).select(*columns)
-    many = first.where(F.col(f"{HELPER}_many")).withColumn(HELPER, F.xxhash64(text_col))
-    kept = kept.unionByName(_one_each(many, f"{HELPER}_id").select(*columns))
-    if lone.isEmpty():
-        return kept
-    # Rows without an id: their fingerprints' components have none either.
-    named = docs.where(key.isNull()).withColumn(HELPER, fingerprints(F.coalesce(F.col(text_col), F.lit(""))))
-    roots = components(links(lone)).toDF(f"{HELPER}_node", f"{HELPER}_root")
-    named = named.join(alone, F.col(HELPER) == F.col(f"{HELPER}_print"))
-    named = named.join(roots, F.col(HELPER) == F.col(f"{HELPER}_node"), "left")
-    named = named.withColumn(f"{HELPER}_id", F.coalesce(f"{HELPER}_root", HELPER))
-    return kept.unionByName(_one_each(named, f"{HELPER}_id").select(*columns))
+    many = first.where(F.col(f"{HELPER}_many")).withColumn(HELPER, F.col(f"{HELPER}_hash"))
+    return kept.unionByName(_one_each(many, f"{HELPER}_root").select(*columns))
 
 
 def _one_each(rows: DataFrame, key: str) -> DataFrame:
