@@ -7,7 +7,8 @@ sign, a card number that fails its checksum, an address with "(at)") gives
 candidates with patterns of their own. Patterns and values form a graph that
 Spark scores in rounds: a pattern's confidence is the share of score among the
 distinct values seen in its place, a value's score grows with its confident
-patterns. Candidates that confident patterns name with a high score are added;
+patterns, and a value of high score supports patterns like a seed in the next
+round. Candidates that confident patterns name with a high score are added;
 base spans always stay.
 
 A text is read once for spans; the graph holds values and patterns only, is
@@ -42,7 +43,7 @@ NOT_DIGIT = re.compile(r"[^0-9]+")
 LOOSE_NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9][0-9 ().\-/]{5,38}[0-9](?![0-9A-Za-z])")
 LOOSE_AT = re.compile(r"@[A-Za-z0-9-]+| ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(?:\.|[(\[]dot[)\]]) ?[A-Za-z0-9-]+)*")
 
-#: A pattern needs so many distinct seeds, and so much of its values' score.
+#: A pattern needs so many distinct values that are known by now (seeds, or of MIN_SCORE), and so much of its values' score.
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
 MIN_SCORE = 0.8
@@ -176,7 +177,7 @@ def confident(occurrences: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame,
     for _ in range(rounds):
         mass = graph.join(scores, ["kind", "value"]).groupBy("kind", "pattern").agg(
             F.sum(F.round("score", 9).cast("decimal(20,9)")).cast("double").alias("mass"),
-            F.sum(F.col("seed").cast("long")).alias("support"),
+            F.sum((F.col("score") >= MIN_SCORE).cast("long")).alias("support"),
         )
         share = F.col("mass") / F.col("total")
         trusted = mass.join(totals, "pattern").where((F.col("support") >= MIN_SUPPORT) & (share >= MIN_CONFIDENCE))
