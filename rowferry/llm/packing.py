@@ -6,7 +6,9 @@ them out: every piece starts as a partition of its own, and the two partial
 partitions of the largest imbalance are merged, the fullest windows of one with
 the emptiest of the other, until one partition is left. Its windows are nearly
 equal; if one holds more than the capacity, the window count rises and the
-pieces are dealt out anew.
+pieces are dealt out anew. If a few windows more (one in SPARE) are not enough,
+as for pieces of just over half a sequence, what does not fit is cut off and
+fills the others.
 
 Nothing is shuffled: a group of pieces never leaves its task, memory is bounded
 by `windows`, and a lost task gives the same sequences again. Each task's last
@@ -32,8 +34,10 @@ from rowferry.llm.tokens import WordEncoder
 
 CAPACITY = 4096
 END_ID = 2
-#: Only documents longer than a sequence are cut.
+#: Documents longer than a sequence are cut, others only where padding would grow.
 MAX_PIECE = CAPACITY
+#: Of so many windows one may be added before pieces are cut.
+SPARE = 32
 #: Sequences that a task deals out at a time; more leave less padding and take more time.
 WINDOWS = 256
 
@@ -93,16 +97,49 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
-    """As few windows as differencing needs to keep each within capacity."""
+def windows_of(sizes: list[int], capacity: int, most: int | None = None) -> list[list[int]]:
+    """As few windows as differencing needs to keep each within capacity; of `most` windows some may hold more."""
     k = max(1, -(-sum(sizes) // capacity))
     while True:
         dealt = differencing(sizes, k)
-        if all(sum(sizes[i] for i in w) <= capacity for w in dealt):
+        if k == most or all(sum(sizes[i] for i in w) <= capacity for w in dealt):
             return dealt
         k += 1
 
 
+def fitted(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
+    """Windows within capacity, of (index, start in the piece, length); pieces are cut where few windows need it."""
+    least = max(1, -(-sum(sizes) // capacity))
+    most = least + least // SPARE
+    out, room, rest = [], [], []
+    for window in windows_of(sizes, capacity, most):
+        own, free = [], capacity
+        for i in window:
+            n = min(sizes[i], free)
+            if n:
+                own.append((i, 0, n))
+            if n < sizes[i]:
+                rest.append((i, n, sizes[i] - n))
+            free -= n
+        out.append(own)
+        room.append(free)
+    if not rest:
+        return out
+    out += [[] for _ in range(most - len(out))]
+    room += [capacity] * (most - len(room))
+    heap = [(-free, w) for w, free in enumerate(room) if free]
+    heapq.heapify(heap)
+    for i, start, length in sorted(rest, key=lambda r: (-r[2], r[0])):
+        while length:
+            free, w = heapq.heappop(heap)
+            n = min(length, -free)
+            out[w].append((i, start, n))
+            start, length = start + n, length - n
+            if n < -free:
+                heapq.heappush(heap, (free + n, w))
+    return [w for w in out if w]
+
+
 def pack_rows(
     docs: Iterator[tuple[int | None, bytes]], first_id: int, capacity: int, max_piece: int, windows: int
 ) -> Iterator[tuple]:
@@ -111,12 +148,13 @@ def pack_rows(
 
     def deal():
         nonlocal sequence
-        for window in windows_of([p[2] for p in held], capacity):
-            total, at = sum(held[i][2] for i in window), 0
+        for window in fitted([p[2] for p in held], capacity):
+            total, at = sum(length for _, _, length in window), 0
             padded = total if total & (total - 1) == 0 else capacity
-            for i in window:
-                doc_id, start, length, ids, doc_tokens = held[i]
-                yield doc_id, start, length, ids, doc_tokens, sequence, at, padded
+            for i, skip, length in window:
+                doc_id, start, _, ids, doc_tokens = held[i]
+                part = ids[4 * skip:4 * (skip + length)]
+                yield doc_id, start + skip, length, part, doc_tokens, sequence, at, padded
                 at += length
             sequence += 1
 
