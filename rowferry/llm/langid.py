@@ -7,8 +7,10 @@ mean over its letter bytes, of the whole text.
 
 Training is numpy backpropagation through time on the driver, over a bounded
 sample: SAMPLE_DOCS documents of each language, at most SAMPLE_WINDOWS distinct windows
-each, taken all over the text. The sample is chosen by hashes of the ids, so it
-does not depend on how rows are dealt. Prediction is a map over all documents
+each, taken all over the text. Only rows with a letter are drawn, those of FULL
+letters first; a text without a window of FULL letters gives its fullest. The
+sample is chosen by hashes of the ids, so it does not depend on how rows are
+dealt. Prediction is a map over all documents
 without a shuffle.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is
@@ -42,6 +44,11 @@ UNKNOWN = "und"
 #: Bytes that count as letters: a-z (A-Z are lowered first) and parts of other alphabets' characters.
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = LETTER[128:] = True
+#: Letter bytes of a window that is learned from, where the text has any such window.
+FULL = WINDOW // 3
+#: The same of a text's characters, for Spark.
+ANY_LETTER = r"[A-Za-z]|[^\x00-\x7F]"
+FULL_LETTERS = rf"(?:(?:{ANY_LETTER})[\x00-@\[-`{{-\x7F]*+){{{FULL}}}"
 
 
 def windows(data: bytes, width: int = WINDOW) -> np.ndarray:
@@ -173,24 +180,28 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
         F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"),
         F.col(text_col).alias("text"),
     ).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    rows = rows.where(F.col("text").rlike(ANY_LETTER))
     # Only distinct ids and languages are ranked.
-    picked = _first(rows.select("lang", "doc_id").distinct(), "doc_id", per_language)
+    ids = rows.groupBy("lang", "doc_id").agg(F.min(~F.col("text").rlike(FULL_LETTERS)).alias("short"))
+    picked = _first(ids, "doc_id", per_language, "short")
     chosen = rows.join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"])
-    schema = pa.schema([("lang", pa.string()), ("window", pa.binary())])
+    schema = pa.schema([("lang", pa.string()), ("window", pa.binary()), ("short", pa.bool_())])
 
     def task(batches):
         def cut():
             for lang, text in pairs(batches):
                 parts = windows((text or "").encode().lower())
-                parts = parts[LETTER[parts].sum(axis=1) >= WINDOW // 3]
-                for i in np.unique(np.linspace(0, len(parts) - 1, SAMPLE_WINDOWS).astype(int)) if len(parts) else ():
-                    yield lang, parts[i].tobytes()
+                letters = LETTER[parts].sum(axis=1)
+                least = min(FULL, max(1, int(letters.max())))
+                parts = parts[letters >= least] if least == FULL else parts[[int(letters.argmax())]]
+                for i in np.unique(np.linspace(0, len(parts) - 1, SAMPLE_WINDOWS).astype(int)):
+                    yield lang, parts[i].tobytes(), least < FULL
 
         return row_batches(cut(), schema)
 
     # An id that many rows share brings more windows than one document; the sample's bound holds all the same.
-    found = chosen.select("lang", "text").mapInArrow(task, "lang string, window binary").distinct()
-    found = _first(found, "window", per_language * SAMPLE_WINDOWS).collect()
+    found = chosen.select("lang", "text").mapInArrow(task, "lang string, window binary, short boolean").distinct()
+    found = _first(found, "window", per_language * SAMPLE_WINDOWS, "short").collect()
     found.sort(key=lambda r: (r[0], bytes(r[1])))
     languages = sorted({r[0] for r in found})
     number = {lang: i for i, lang in enumerate(languages)}
@@ -198,8 +209,8 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_langu
     return data, np.array([number[r[0]] for r in found], np.int64), languages
 
 
-def _first(rows: DataFrame, column: str, n: int) -> DataFrame:
-    """The n rows of each language whose column has the smallest hashes.
+def _first(rows: DataFrame, column: str, n: int, last: str | None = None) -> DataFrame:
+    """The n rows of each language whose column has the smallest hashes; rows where `last` is true only after all others.
 
     Each task hands on n rows of a language at most, a tournament of MERGES groups n each, so the last
     task of a language reads MERGES * n rows at most, however hot it is.
@@ -207,7 +218,7 @@ def _first(rows: DataFrame, column: str, n: int) -> DataFrame:
     for keys in (["lang", "part"], ["lang"]):
         if "part" in keys:
             rows = rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MERGES)))
-        order = Window.partitionBy(*keys).orderBy(F.xxhash64(column), column)
+        order = Window.partitionBy(*keys).orderBy(*[last] * bool(last), F.xxhash64(column), column)
         rows = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n).drop("n")
     return rows.drop("part")
 
