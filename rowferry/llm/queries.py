@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import bpe, idstore, importance, langid, neighbours, packing, pii, rules, simhash, warc
+from rowferry.llm import bpe, idstore, importance, langid, merkle, neighbours, packing, pii, rules, simhash, warc
 from rowferry.scratch import materialize, scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -88,11 +88,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(merkle.manifest(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_byte_bpe, op3_nearest, op4_packing, op5_id_store,
         op6_language, op7_pii, op8_importance, op9_rules, op10_simhash,
+        op11_merkle,
     )
 }
 
@@ -121,4 +126,5 @@ ORACLES: dict[str, str] = {
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
         select query_id, rank, vec_id, score from r where rank <= 20""",
     "op9_rules": rules.SQL,
+    "op11_merkle": merkle.SQL,
 }
