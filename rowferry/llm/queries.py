@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowferry.llm import bpe, idstore, importance, langid, merkle, neighbours, packing, pii, rules, simhash, warc
+from rowferry.llm import bpe, idstore, importance, langid, merkle, neighbours, packing, pieces, pii, rules, simhash, warc, whitening
 from rowferry.scratch import materialize, scratch_path
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -92,12 +93,29 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(merkle.manifest(_table(spark, sf_dir, "documents")))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(_table(spark, sf_dir, "documents"), PIECE_BPE).select(
+        "doc_id", "ids", F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256")
+    )
+    return pieces.decode(encoded, PIECE_BPE).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("data", 256).alias("decoded_sha256"),
+        "spans_sha256",
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_byte_bpe, op3_nearest, op4_packing, op5_id_store,
         op6_language, op7_pii, op8_importance, op9_rules, op10_simhash,
-        op11_merkle,
+        op11_merkle, op12_sentencepiece, op13_whitening,
     )
 }
 
