@@ -6,9 +6,9 @@ them out: every piece starts as a partition of its own, and the two partial
 partitions of the largest imbalance are merged, the fullest windows of one with
 the emptiest of the other, until one partition is left. Its windows are nearly
 equal; if one holds more than the capacity, the window count rises and the
-pieces are dealt out anew. If a few windows more (one in SPARE) are not enough,
-as for pieces of just over half a sequence, what does not fit is cut off and
-fills the others.
+pieces are dealt out anew. Where it would rise by more than one in SPARE, as for
+pieces of just over half a sequence, the pieces are halved first, down to a
+quarter of a sequence; from there it rises until all fit.
 
 Nothing is shuffled: a group of pieces never leaves its task, memory is bounded
 by `windows`, and a lost task gives the same sequences again. Each task's last
@@ -36,7 +36,7 @@ CAPACITY = 4096
 END_ID = 2
 #: Documents longer than a sequence are cut, others only where padding would grow.
 MAX_PIECE = CAPACITY
-#: Of so many windows one may be added before pieces are cut.
+#: Of so many windows one may be added before pieces are halved.
 SPARE = 32
 #: Sequences that a task deals out at a time; more leave less padding and take more time.
 WINDOWS = 256
@@ -97,58 +97,62 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return out
 
 
-def windows_of(sizes: list[int], capacity: int, most: int | None = None) -> list[list[int]]:
-    """As few windows as differencing needs to keep each within capacity; of `most` windows some may hold more."""
-    k = max(1, -(-sum(sizes) // capacity))
-    while True:
+def windows_of(sizes: list[int], capacity: int, k: int = 1, most: int | None = None) -> list[list[int]] | None:
+    """Windows within capacity, k of them at least; their count rises, by doubled steps, until each keeps within it.
+
+    None if `most` windows are not enough.
+    """
+    k = max(k, 1, -(-sum(sizes) // capacity))
+    # Of pieces above 1 / (j + 1) of the capacity a window holds j.
+    k = max([k, *(-(-sum(s * (j + 1) > capacity for s in sizes) // j) for j in (1, 2, 3))])
+    step = 1
+    while most is None or k <= most:
         dealt = differencing(sizes, k)
-        if k == most or all(sum(sizes[i] for i in w) <= capacity for w in dealt):
+        if all(sum(sizes[i] for i in w) <= capacity for w in dealt):
             return dealt
-        k += 1
-
-
-def fitted(sizes: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
-    """Windows within capacity, of (index, start in the piece, length); pieces are cut where few windows need it."""
-    least = max(1, -(-sum(sizes) // capacity))
-    most = least + least // SPARE
-    out, room, rest = [], [], []
-    for window in windows_of(sizes, capacity, most):
-        own, free = [], capacity
-        for i in window:
-            n = min(sizes[i], free)
-            if n:
-                own.append((i, 0, n))
-            if n < sizes[i]:
-                rest.append((i, n, sizes[i] - n))
-            free -= n
-        out.append(own)
-        room.append(free)
-    if not rest:
-        return out
-    out += [[] for _ in range(most - len(out))]
-    room += [capacity] * (most - len(room))
-    heap = [(-free, w) for w, free in enumerate(room) if free]
-    heapq.heapify(heap)
-    for i, start, length in sorted(rest, key=lambda r: (-r[2], r[0])):
-        while length:
-            free, w = heapq.heappop(heap)
-            n = min(length, -free)
-            out[w].append((i, start, n))
-            start, length = start + n, length - n
-            if n < -free:
-                heapq.heappush(heap, (free + n, w))
-    return [w for w in out if w]
+        k, step = k + step if most is None or k == most else min(k + step, most), 2 * step
+    return None
+
+
+def fitted(sizes: list[int], capacity: int, spare: int = 0) -> list[list[tuple[int, int, int]]]:
+    """Windows within capacity, of (index, start in the piece, length).
+
+    spare is a number of windows, beyond the least, to begin with. Where more than
+    one in SPARE would be added, all pieces are halved and dealt out anew; pieces
+    of a quarter of the capacity fit however far the count has to rise.
+    """
+    least, grain = max(1, -(-sum(sizes) // capacity)), capacity
+    while True:
+        parts = [(i, at, min(grain, n - at)) for i, n in enumerate(sizes) for at in range(0, n, grain)]
+        last = grain * 4 <= capacity
+        most = None if last else least + least // SPARE
+        dealt = windows_of([n for _, _, n in parts], capacity, min(least + spare, most or least + spare), most)
+        if dealt is not None:
+            return [_joined([parts[i] for i in w]) for w in dealt]
+        grain = -(-grain // 2)
+
+
+def _joined(window: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """A window's parts, those that follow each other in a piece as one."""
+    out = []
+    for i, start, n in sorted(window):
+        if out and out[-1][0] == i and sum(out[-1][1:]) == start:
+            start, n = out[-1][1], out.pop()[2] + n
+        out.append((i, start, n))
+    return out
 
 
 def pack_rows(
     docs: Iterator[tuple[int | None, bytes]], first_id: int, capacity: int, max_piece: int, windows: int
 ) -> Iterator[tuple]:
     """Rows of SCHEMA for documents given as (doc_id, ids)."""
-    held, tokens, sequence = [], 0, first_id
+    held, tokens, sequence, spare = [], 0, first_id, 0
 
     def deal():
-        nonlocal sequence
-        for window in fitted([p[2] for p in held], capacity):
+        nonlocal sequence, spare
+        dealt = fitted([p[2] for p in held], capacity, spare)
+        spare = max(0, len(dealt) - -(-tokens // capacity) - 1)  # one less than this group needed
+        for window in dealt:
             total, at = sum(length for _, _, length in window), 0
             padded = total if total & (total - 1) == 0 else capacity
             for i, skip, length in window:
