@@ -2,39 +2,69 @@
 
 The tokenizer drops white space and never joins characters across it, so the
 ids of a text are those of its white-space-separated words in order. Each task
-keeps the ids of words it has met; the library encodes every other word.
+keeps the ids of words it has met; the library encodes every other word, words
+of letters by its merges alone, without its normaliser and splitter.
 """
 
 from __future__ import annotations
 
 import re
-
-import numpy as np
+from collections import deque
+from itertools import chain
 
 #: Small letters of Latin-1, which no normalisation changes, then ASCII marks that cannot begin a contraction.
 STEM_AND_MARKS = re.compile(
     rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)((?:[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?)"
 )
+#: Words of the latest texts that stay when a task forgets words.
+LATEST = 200_000
+
+
+def byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte: the byte itself where it is visible in Latin-1, else from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in visible]
+    return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(other)}
+
+
+class _Words(dict):
+    """Words to their ids; an unknown word is encoded when it is asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.whole, self.merges, self.letters = tokenizer.encode, tokenizer.model.tokenize, byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        """Words of letters and marks behind them are encoded by parts, as the tokenizer would cut them."""
+        found = STEM_AND_MARKS.fullmatch(word)
+        if found and found[2]:
+            data = self[found[1]] + self[found[2]]
+        else:
+            if found:
+                ids = [t.id for t in self.merges(word.decode("latin-1").translate(self.letters))]
+            else:
+                ids = self.whole(word.decode(), add_special_tokens=False).ids
+            data = b"".join([i.to_bytes(4, "little") for i in ids])
+        self[word] = data
+        return data
 
 
 class WordEncoder:
     """Texts to ids, as little-endian unsigned 32-bit integers.
 
-    keep bounds the words remembered; beyond it the memory starts anew, which
-    changes speed only.
+    keep bounds the words remembered; beyond it only those of the latest texts
+    stay, which changes speed only.
     """
 
     _open: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.ends_word[ends] = True
-        self.keep, self.seen, self.stems, self.marks = keep, {}, {}, {}
+        self.keep, self.seen = keep, _Words(self.tokenizer)
+        self.latest, self.n_latest = deque(), 0
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -43,48 +73,23 @@ class WordEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _by_library(self, words: list[bytes]) -> list[bytes]:
-        """The ids of each word, whatever it is made of."""
-        got = self.tokenizer.encode(
-            [w.decode() for w in words], is_pretokenized=True, add_special_tokens=False
-        )
-        data = np.array(got.ids, dtype="<u4").tobytes()
-        owner = np.array(got.word_ids, dtype=np.int64) if data else np.zeros(0, np.int64)
-        ends = (4 * np.searchsorted(owner, np.arange(len(words)), side="right")).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _stems_by_library(self, stems: list[bytes]) -> list[bytes]:
-        """The same for words of letters: one text, cut behind the tokens that end a word."""
-        found = self.tokenizer.encode_batch_fast([b" ".join(stems).decode()], add_special_tokens=False)
-        ids = np.array(found[0].ids, dtype="<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(stems):
-            return self._by_library(stems)
-        data, ends = ids.tobytes(), (4 * ends).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends)]
-
-    def _learn(self, words: list[bytes]) -> None:
-        """Words of letters and marks behind them are encoded by parts, as the tokenizer would cut them."""
-        parts = {w: m.groups() for w in words if (m := STEM_AND_MARKS.fullmatch(w))}
-        stems, marks = self.stems, self.marks
-        fresh = list({stem for stem, _ in parts.values() if stem not in stems})
-        for at in range(0, len(fresh), 2048):
-            stems.update(zip(fresh[at:at + 2048], self._stems_by_library(fresh[at:at + 2048])))
-        fresh = list({mark for _, mark in parts.values() if mark not in marks})
-        marks.update(zip(fresh, self._by_library(fresh)))
-        other = [w for w in words if w not in parts]
-        for at in range(0, len(other), 2048):
-            self.seen.update(zip(other[at:at + 2048], self._by_library(other[at:at + 2048])))
-        self.seen.update({w: stems[stem] + marks[mark] for w, (stem, mark) in parts.items()})
+    def _forget(self) -> None:
+        latest = set(chain.from_iterable(self.latest))
+        kept = {w: self.seen[w] for w in latest}
+        self.seen.clear()
+        if len(kept) <= self.keep:
+            self.seen.update(kept)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        for memory in (self.seen, self.stems, self.marks):
-            if len(memory) > self.keep:
-                memory.clear()
-        split = [t.encode().lower().split() for t in texts]  # bytes: ASCII only, as the library would
-        got = [list(map(self.seen.get, words)) for words in split]
-        open_ = [(words, ids) for words, ids in zip(split, got) if None in ids]
-        self._learn(list({w for words, ids in open_ for w, i in zip(words, ids) if i is None}))
-        for words, ids in open_:
-            ids[:] = [self.seen[w] if i is None else i for w, i in zip(words, ids)]
-        return [b"".join(ids) for ids in got]
+        if len(self.seen) > self.keep:
+            self._forget()
+        out = []
+        for text in texts:
+            words = text.encode().lower().split()  # bytes: ASCII only, as the library would
+            out.append(b"".join(map(self.seen.__getitem__, words)))
+            if len(words) <= LATEST:
+                self.latest.append(words)
+                self.n_latest += len(words)
+                while self.n_latest > LATEST:
+                    self.n_latest -= len(self.latest.popleft())
+        return out
