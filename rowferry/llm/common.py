@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,6 +45,50 @@ def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist())
 
 
+def in_parts(rows: Iterable[tuple], size: Callable, most: int) -> Iterator[list[tuple]]:
+    """Rows in lists that end where their sizes add up to `most`."""
+    held, weight = [], 0
+    for row in rows:
+        held.append(row)
+        weight += size(row)
+        if weight >= most:
+            yield held
+            held, weight = [], 0
+    if held:
+        yield held
+
+
+class Remembered(dict):
+    """Values of keys, each made when it is first asked for.
+
+    Beyond `keep` keys only those of the latest lists stay, which changes speed only.
+    """
+
+    def __init__(self, make: Callable, keep: int, latest: int = 200_000):
+        super().__init__()
+        self.make, self.keep, self.most_latest = make, keep, latest
+        self.latest, self.n_latest = deque(), 0
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+    def of(self, keys: list) -> list:
+        """The keys' values in order."""
+        if len(self) > self.keep:
+            kept = {k: self[k] for k in set(chain.from_iterable(self.latest)) if k in self}
+            self.clear()
+            if len(kept) <= self.keep:
+                self.update(kept)
+        found = list(map(self.__getitem__, keys))
+        if len(keys) <= self.most_latest:
+            self.latest.append(keys)
+            self.n_latest += len(keys)
+            while self.n_latest > self.most_latest:
+                self.n_latest -= len(self.latest.popleft())
+        return found
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads; a null text counts as empty."""
     return docs.select(

@@ -9,15 +9,13 @@ of letters by its merges alone, without its normaliser and splitter.
 from __future__ import annotations
 
 import re
-from collections import deque
-from itertools import chain
+
+from rowferry.llm.common import Remembered
 
 #: Small letters of Latin-1, which no normalisation changes, then ASCII marks that cannot begin a contraction.
 STEM_AND_MARKS = re.compile(
     rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)((?:[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?)"
 )
-#: Words of the latest texts that stay when a task forgets words.
-LATEST = 200_000
 
 
 def byte_letters() -> dict[int, int]:
@@ -27,34 +25,8 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in visible} | {b: 256 + i for i, b in enumerate(other)}
 
 
-class _Words(dict):
-    """Words to their ids; an unknown word is encoded when it is asked for."""
-
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.whole, self.merges, self.letters = tokenizer.encode, tokenizer.model.tokenize, byte_letters()
-
-    def __missing__(self, word: bytes) -> bytes:
-        """Words of letters and marks behind them are encoded by parts, as the tokenizer would cut them."""
-        found = STEM_AND_MARKS.fullmatch(word)
-        if found and found[2]:
-            data = self[found[1]] + self[found[2]]
-        else:
-            if found:
-                ids = [t.id for t in self.merges(word.decode("latin-1").translate(self.letters))]
-            else:
-                ids = self.whole(word.decode(), add_special_tokens=False).ids
-            data = b"".join([i.to_bytes(4, "little") for i in ids])
-        self[word] = data
-        return data
-
-
 class WordEncoder:
-    """Texts to ids, as little-endian unsigned 32-bit integers.
-
-    keep bounds the words remembered; beyond it only those of the latest texts
-    stay, which changes speed only.
-    """
+    """Texts to ids, as little-endian unsigned 32-bit integers; keep bounds the words remembered."""
 
     _open: dict[str, WordEncoder] = {}
 
@@ -63,8 +35,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keep, self.seen = keep, _Words(self.tokenizer)
-        self.latest, self.n_latest = deque(), 0
+        self.merges, self.letters = self.tokenizer.model.tokenize, byte_letters()
+        self.seen = Remembered(self._encoded, keep)
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -73,23 +45,17 @@ class WordEncoder:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _forget(self) -> None:
-        latest = set(chain.from_iterable(self.latest))
-        kept = {w: self.seen[w] for w in latest}
-        self.seen.clear()
-        if len(kept) <= self.keep:
-            self.seen.update(kept)
+    def _encoded(self, word: bytes) -> bytes:
+        """Words of letters and marks behind them are encoded by parts, as the tokenizer would cut them."""
+        found = STEM_AND_MARKS.fullmatch(word)
+        if found and found[2]:
+            return self.seen[found[1]] + self.seen[found[2]]
+        if found:
+            ids = [t.id for t in self.merges(word.decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        return b"".join([i.to_bytes(4, "little") for i in ids])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > self.keep:
-            self._forget()
-        out = []
-        for text in texts:
-            words = text.encode().lower().split()  # bytes: ASCII only, as the library would
-            out.append(b"".join(map(self.seen.__getitem__, words)))
-            if len(words) <= LATEST:
-                self.latest.append(words)
-                self.n_latest += len(words)
-                while self.n_latest > LATEST:
-                    self.n_latest -= len(self.latest.popleft())
-        return out
+        # Bytes: small letters and white space of ASCII only, as the library would.
+        return [b"".join(self.seen.of(t.encode().lower().split())) for t in texts]

@@ -22,7 +22,7 @@ def _texts(n):
 def test_ids_spans_and_text_as_the_library():
     encode, decode = pieces.PieceEncoder.of(queries.PIECE_BPE), pieces.PieceDecoder.of(queries.PIECE_BPE)
     for text in [*_texts(3000), "", " ", "word " * 20000, "x" * 5000, "漢字" * 3000, " " * 9000]:
-        ids, begins, ends = encode(text)
+        ids, begins, ends = encode([text])[0]
         assert ids.tolist() == LIBRARY.encode(text, add_bos=True, add_eos=True)
         spans = [(p.id, p.begin, p.end) for p in LIBRARY.encode(text, return_type="proto").pieces]
         assert list(zip(ids.tolist(), begins.tolist(), ends.tolist()))[1:-1] == spans
@@ -75,18 +75,27 @@ def test_longest_prefix_and_its_source():
     own = object.__new__(pieces.Model)
     own.__dict__ = {**model.__dict__, "map": table}
     text, origin = own.normalise("abé\tqabc\U0001f600")
-    assert text == "▁Abe▁xyz\U0001f600"
-    assert origin.tolist() == [0, 0, 0, 0, 1, 2, 4, 4, 4, 6, 6, 6, 9, 9, 9, 9, 13]
+    assert text == " Abe xyz\U0001f600"
+    assert origin.tolist() == [0, 0, 1, 2, 4, 6, 6, 6, 9, 9, 9, 9, 13]
     own.squeeze = True
     text, origin = own.normalise(" \t a 　 b  ")
-    assert text == "▁A▁b" and origin.tolist() == [3, 3, 3, 3, 4, 4, 4, 9, 10]
+    assert text == " A b" and origin.tolist() == [3, 3, 4, 9, 10]
     assert own.normalise(" \t ")[0] == "" and own.normalise("")[0] == ""
     own.squeeze, own.map = False, pieces.CharacterMap(b"")
-    for text in _texts(300):
-        plain, mapped = own.normalise(text), own._mapped(text.encode())
-        if text:
-            at = np.cumsum([0, *map(len, (c.encode() for c in plain[0]))])  # at borders of characters
-            assert plain[0] == mapped[0] and plain[1][at].tolist() == mapped[1][at].tolist()
+    for text in filter(None, _texts(300)):
+        plain, mapped = own.normalise(text), own.mapped(text.encode())
+        starts = [len(text[:i].encode()) for i, c in enumerate(text) for _ in c.encode()]
+        assert plain == (mapped[0], None) and mapped[1].tolist() == [0, *starts, len(text.encode())]
+
+
+def test_short_and_long_stretches_are_merged_alike():
+    model = pieces.Model.of(queries.PIECE_BPE)
+    for text in _texts(2000):
+        stretch = text.replace(" ", "▁")
+        if len(stretch) <= pieces.SHORT:
+            assert model._merged_by_heap(list(stretch)) == model.merged(stretch)
+    many = [t for text in _texts(500) for t in model.stretches.findall(" " + text)]
+    assert model.numbered_all(many) == list(map(model.numbered, many)) and model.numbered_all([]) == []
 
 
 def test_tables(spark):
