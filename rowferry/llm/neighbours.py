@@ -11,9 +11,12 @@ With v = s c + e (scale s, codes c, rest e), the error of a product is at most
 |s c||e'| + |e||v'|.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
-components take no part, nor do null ids; of rows that share an id the smallest
-vector stands for it; vectors of other lengths than the query's are not its
-candidates; equal scores go to the smaller id; other columns are not read.
+components take no part, nor do null ids; rows that share an id are queries and
+candidates each, none of them a candidate of its own id, and the queries of one
+id have one list, of the best pairs; rows equal in id and vector are worked on
+once and counted as often as they are there; vectors of other lengths than the
+query's are not its candidates; equal scores go to the smaller id; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 20
@@ -31,24 +34,24 @@ QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 16384
 #: Lists of a query that are merged at a time.
 FAN = 16
-LIST = "query_id long, vec_id long, score double"
+LIST = "query_id long, vec_id long, score double, times long"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, dim and vector (array of double) of the rows that take part."""
+    """vec_id, vector (array of double), times (rows equal in both) and dim of the rows that take part."""
     v = F.col("vector")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector")
     )
     rows = rows.where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & F.exists(v, lambda x: x != 0))
-    return rows.groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    return rows.groupBy("vec_id", "vector").agg(F.count(F.lit(1)).alias("times")).withColumn("dim", F.size("vector"))
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     """Rows with their block's number; as many blocks as their count needs."""
     n = max(1, -(-rows.count() // size))
-    return rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")), n
+    return rows.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(n)).cast("int")), n
 
 
 def quantised(v: np.ndarray):
@@ -68,7 +71,7 @@ def products(c: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def tile(q_ids, q, c_ids, c, k: int):
-    """The k best candidates of each query: query ids, candidate ids, exact scores."""
+    """The k best candidates of each query: places of queries, places of candidates, exact scores."""
     qc, qs, qn, qe, _ = quantised(q)
     cc, cs, _, ce, cn = quantised(c)
     # Sums of products of codes stay below 2**24 up to 1040 components: exact as 32-bit floats.
@@ -88,8 +91,8 @@ def tile(q_ids, q, c_ids, c, k: int):
             left = left[c_ids[left] != q_ids[at + row]]
             exact = products(c, left, q[at + row])
             best = np.lexsort((c_ids[left], -exact))[:k]
-            ids.append(np.full(len(best), q_ids[at + row]))
-            near.append(c_ids[left][best])
+            ids.append(np.full(len(best), at + row))
+            near.append(left[best])
             scores.append(exact[best])
     return np.concatenate(ids), np.concatenate(near), np.concatenate(scores)
 
@@ -111,31 +114,33 @@ def nearest(vectors: DataFrame, queries, id_col="vec_id", vector_col="embedding"
         )
 
     def one(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        out = ([], [], [])
+        out = ([], [], [], [])
         if len(q) and len(c):
             parts = [x for f in (q, c) for x in (f["vec_id"].to_numpy(), np.array(f["vector"].tolist(), np.float64))]
-            out = tile(*parts, k)
+            own, near, scores = tile(*parts, k)
+            times = np.minimum(q["times"].to_numpy()[own], k) * np.minimum(c["times"].to_numpy()[near], k)
+            out = parts[0][own], parts[2][near], scores, times
         group = int(c["c"].iloc[0]) if len(c) else 0
         block = int(q["q"].iloc[0]) if len(q) else 0
-        found = pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), out)))
-        return found.assign(q=block, c=group)[["q", "c", "query_id", "vec_id", "score"]]
+        found = pd.DataFrame(dict(zip(("query_id", "vec_id", "score", "times"), out)))
+        return found.assign(q=block, c=group)[["q", "c", "query_id", "vec_id", "score", "times"]]
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
         """Lists of one block of queries into one list for each query."""
         kept = []
         for query, own in frame.groupby("query_id"):
             lists = [
-                zip((-part["score"]).tolist(), part["vec_id"].tolist())
+                zip((-part["score"]).tolist(), part["vec_id"].tolist(), part["times"].tolist())
                 for _, part in own.sort_values(["score", "vec_id"], ascending=[False, True]).groupby("c")
             ]
-            kept += [(query, v, -s) for s, v in islice(heapq.merge(*lists), k)]
+            kept += [(query, v, -s, n) for s, v, n in islice(heapq.merge(*lists), k)]
         block, group = int(frame["q"].iloc[0]), int(frame["c"].iloc[0]) // FAN
-        found = pd.DataFrame(kept, columns=["query_id", "vec_id", "score"])
-        return found.assign(q=block, c=group)[["q", "c", "query_id", "vec_id", "score"]]
+        found = pd.DataFrame(kept, columns=["query_id", "vec_id", "score", "times"])
+        return found.assign(q=block, c=group)[["q", "c", "query_id", "vec_id", "score", "times"]]
 
     key, kind = ["dim", "q", "c"], "q int, c int, " + LIST
     # Both sides come from one frame; new names keep their columns apart in the cogroup.
-    columns = [*key, "vec_id", "vector"]
+    columns = [*key, "vec_id", "vector", "times"]
     left = tiles(asked, n_c, "q").select(*columns).toDF(*columns).groupBy(*key)
     right = tiles(all_, n_q, "c").select([F.col(c).alias(f"c_{c}") for c in columns])
     right = right.groupBy(*[f"c_{c}" for c in key])
@@ -145,10 +150,9 @@ def nearest(vectors: DataFrame, queries, id_col="vec_id", vector_col="embedding"
         found = found.groupBy("q", F.floor(F.col("c") / FAN)).applyInPandas(merged, kind)
         groups = -(-groups // FAN)
 
-    # One list for each query is left; its place in the list is its rank.
-    def ranked(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-        rank = (frame.groupby("query_id").cumcount() + 1).astype("int32")
-        return frame.assign(rank=rank)[["query_id", "rank", "vec_id", "score"]]
-
-    return found.groupBy("q").applyInPandas(ranked, "query_id long, rank int, vec_id long, score double")
+    # One list for each block and id is left; those of one id meet, cut to k before they are shuffled.
+    listed = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return listed.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score"
+    )
