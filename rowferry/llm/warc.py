@@ -1,11 +1,12 @@
 """WARC archives without repeated payloads.
 
-Headers (id, digest, length) are shuffled by payload digest, without payloads;
-each digest's record of the largest id is the original, the rest become revisit
-records that refer to it. Archives are then written anew with fresh headers:
-payloads of originals only. Counting the largest id of a digest is combined
-before the shuffle, and the join back to the headers is one that Spark splits
-where a digest is hot.
+Headers (id, URL, digest, length) are written once and shuffled by payload digest,
+without payloads; each digest's record of the largest id is the original, the
+rest become revisit records that refer to it. Archives are then written anew with
+fresh headers: one payload of each digest is joined to the response that needs
+it, revisits carry none. Copies of a header are counted in their task, the largest
+id of a digest is combined before the shuffle, and the join back to the headers is
+one that Spark splits where a digest is hot.
 
 A file holds whole WARC/1.1 records, gzip-compressed. Spark's text writer ends
 each cell with the two line ends that end a WARC record, so the files are
@@ -13,7 +14,9 @@ committed like any other output, on any store.
 
 Defined cases: a null payload is empty; equal payloads are equal in SHA-1 and
 length; a null id takes part and is the original only if no copy has an id;
-copies of one row (same id and payload) are all written alike; a null URL is left out;
+of rows of one id and payload the one of the largest URL is the original, of
+equal rows any one, the others revisit it; every record has an id of its own, of
+page id, digest and copy; a null URL is left out;
 line ends in a URL are percent-encoded; an empty table gives no record.
 """
 
@@ -29,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowferry.llm.common import row_batches
+from rowferry.scratch import materialize
 
 END = "\r\n\r\n"
 RECORDS_PER_FILE = 4096
@@ -56,24 +60,29 @@ def records(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> Da
     })
 
 
+HEADER = ["page_id", "url", "payload_digest", "payload_bytes", "part"]
+
+
+def headers(rows: DataFrame) -> DataFrame:
+    """Each header that a task has seen, and how many copies of it."""
+    seen = rows.drop("payload").withColumn("part", F.spark_partition_id())
+    return seen.groupBy(*HEADER).agg(F.count(F.lit(1)).alias("copies"))
+
+
 def resolve(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """One row for each page_id and payload: page_id, payload_digest, payload_bytes, original, original_url.
+    """headers with the original of their payload (original, original_url, original_part) and whether they are it (first).
 
-    headers has page_id, url, payload_digest and payload_bytes. Payloads of
-    fewer than least_bytes bytes are originals each.
+    Payloads of fewer than least_bytes bytes are originals each.
     """
     key = ["payload_digest", "payload_bytes"]
     large = headers.where(F.col("payload_bytes") >= least_bytes)
-    # Of equal ids the largest URL; null ids are the smallest.
-    best = large.groupBy(*key).agg(F.max(F.struct("page_id", "url")).alias("best"))
-    originals = best.select(*key, F.col("best.page_id").alias("original"), F.col("best.url").alias("original_url"))
-    each = headers.groupBy("page_id", *key).agg(F.max("url").alias("own_url"))
-    joined = each.join(originals, key, "left")
-    own = F.col("payload_bytes") < least_bytes
+    # Of equal ids the largest URL, of equal ones the largest part; nulls are the smallest.
+    best = large.groupBy(*key).agg(F.max(F.struct("page_id", "url", "part")).alias("best"))
+    joined = headers.join(best, key, "left")
     return joined.select(
-        "page_id", *key,
-        F.when(own, F.col("page_id")).otherwise(F.col("original")).alias("original"),
-        F.when(own, F.col("own_url")).otherwise(F.col("original_url")).alias("original_url"),
+        *HEADER, "copies", F.col("best.page_id").alias("original"), F.col("best.url").alias("original_url"),
+        F.col("best.part").alias("original_part"), (F.col("payload_bytes") < least_bytes).alias("alone"),
+        F.col("best").eqNullSafe(F.struct("page_id", "url", "part")).alias("first"),
     )
 
 
@@ -81,8 +90,13 @@ def _clean(url: Column) -> Column:
     return F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
 
 
-def _record_id(page_id: Column) -> Column:
-    return F.concat(F.lit(f"<{RECORD_ID}"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit(">"))
+def _record_id(page_id: Column, url: Column, part: Column, copy: Column) -> Column:
+    """Page id, digest of what else tells records of a page apart, and number of the copy."""
+    rest = F.sha1(F.concat_ws(" ", F.col("payload_digest"), part.cast("string"), url))
+    return F.concat(
+        F.lit(f"<{RECORD_ID}"), F.coalesce(page_id.cast("string"), F.lit("null")), F.lit("/"),
+        F.substring(rest, 1, 20), F.lit("/"), copy.cast("string"), F.lit(">"),
+    )
 
 
 def _line(name: str, value: Column) -> Column:
@@ -100,34 +114,36 @@ def write_archives(
 ) -> None:
     """Write one record for each row of pages: a response, or a revisit of the same payload's response."""
     rows = records(pages, id_col, url_col, payload_col)
-    fates = resolve(rows.drop("payload"), least_bytes).withColumnRenamed("page_id", "fate_id")
+    fates = materialize(resolve(materialize(headers(rows), "warc-headers"), least_bytes), "warc-fates")
+    each = fates.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    is_response = F.col("alone") | (F.col("first") & (F.col("copy") == 1))
     key = ["payload_digest", "payload_bytes"]
-    joined = rows.join(
-        fates.select("fate_id", *[F.col(k).alias(f"fate_{k}") for k in key], "original", "original_url"),
-        F.col("page_id").eqNullSafe(F.col("fate_id")) & (F.col(key[0]) == F.col(f"fate_{key[0]}"))
-        & (F.col(key[1]) == F.col(f"fate_{key[1]}")),
-    )
-    first = F.col("page_id").eqNullSafe(F.col("original"))
+    payloads = rows.groupBy(*key).agg(F.any_value("payload").alias("payload"))
+    responses = each.where(is_response).join(payloads, key).withColumn("first", F.lit(True))
+    revisits = each.where(~is_response).withColumns({"payload": F.lit(""), "first": F.lit(False)})
+    first = F.col("first")
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("payload_bytes").cast("string"), F.lit(END),
     )
     block = F.when(first, F.concat(http, F.col("payload"))).otherwise(http)
+    now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    original = _record_id(F.col("original"), F.col("original_url"), F.col("original_part"), F.lit(1))
     value = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(first, F.lit("response")).otherwise(F.lit("revisit")),
         F.lit("\r\n"),
-        _line("WARC-Record-ID", _record_id(F.col("page_id"))),
-        _line("WARC-Date", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        _line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("url"), F.col("part"), F.col("copy"))),
+        _line("WARC-Date", F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         _line("WARC-Target-URI", _clean(F.col("url"))),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _line("WARC-Profile", F.when(~first, F.lit(PROFILE))),
-        _line("WARC-Refers-To", F.when(~first, _record_id(F.col("original")))),
+        _line("WARC-Refers-To", F.when(~first, original)),
         _line("WARC-Refers-To-Target-URI", F.when(~first, _clean(F.col("original_url")))),
         _line("Content-Type", F.lit("application/http;msgtype=response")),
         _line("Content-Length", F.octet_length("block").cast("string")),
         F.lit("\r\n"), F.col("block"),
     )
-    writer = joined.withColumn("block", block).select(value.alias("value")).write
+    writer = responses.unionByName(revisits).withColumn("block", block).select(value.alias("value")).write
     options = {"lineSep": END, "compression": "gzip", "maxRecordsPerFile": RECORDS_PER_FILE}
     writer.options(**options).text(path)
 
@@ -158,7 +174,7 @@ def unzip(data: bytes) -> bytes:
 
 READ = pa.schema([
     ("page_id", pa.int64()), ("record_type", pa.string()), ("target_uri", pa.string()),
-    ("stated_digest", pa.string()), ("refers_to", pa.int64()), ("refers_to_record", pa.string()),
+    ("record_id", pa.string()), ("stated_digest", pa.string()), ("refers_to", pa.int64()), ("refers_to_record", pa.string()),
     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string()),
 ])
 
@@ -167,7 +183,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """One row for each record. Digest and length are of the payload as read; null for revisits, which have none."""
 
     def page(record_id: str | None) -> int | None:
-        number = (record_id or "").removeprefix(f"<{RECORD_ID}").removesuffix(">")
+        number = (record_id or "").removeprefix(f"<{RECORD_ID}").partition("/")[0]
         return int(number) if number.removeprefix("-").isdigit() else None
 
     def rows(batches):
@@ -177,7 +193,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     body = block.partition(b"\r\n\r\n")[2] if h["warc-type"] == "response" else None
                     digest = body is not None and base64.b32encode(hashlib.sha1(body).digest()).decode() or None
                     yield (
-                        page(h.get("warc-record-id")), h["warc-type"], h.get("warc-target-uri"),
+                        page(h.get("warc-record-id")), h["warc-type"], h.get("warc-target-uri"), h.get("warc-record-id"),
                         h.get("warc-payload-digest", "").removeprefix("sha1:"), page(h.get("warc-refers-to")),
                         h.get("warc-refers-to"), None if body is None else len(body), digest,
                         body.decode() if payloads and body is not None else None,
@@ -185,8 +201,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     return files.mapInArrow(
-        lambda b: row_batches(rows(b), READ, lambda r: len(r[8] or "") + 128),
-        "page_id long, record_type string, target_uri string, stated_digest string, refers_to long, "
+        lambda b: row_batches(rows(b), READ, lambda r: len(r[9] or "") + 128),
+        "page_id long, record_type string, target_uri string, record_id string, stated_digest string, refers_to long, "
         "refers_to_record string, payload_bytes long, payload_digest string, payload string",
     )
 
