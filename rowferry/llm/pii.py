@@ -8,12 +8,16 @@ candidates with patterns of their own. Patterns and values form a graph that
 Spark scores in rounds: a pattern's confidence is the share of score among the
 distinct values seen in its place, a value's score grows with its confident
 patterns, and a value of high score supports patterns like a seed in the next
-round. Candidates that confident patterns name with a high score are added;
+round. Scores only rise, and rounds go on until none moves. Candidates that confident patterns name with a high score are added;
 base spans always stay.
 
 A text is read once for spans; the graph holds values and patterns only, is
 combined before it is shuffled, and every round is written to the shared folder.
 
+A loose number has 7 to 19 digits and is at most 40 characters long. Context
+words are whole words; one of more than LONG characters counts as the word
+`<long>`, and no word is looked for beyond it.
+
 Defined cases: a null or empty text has no spans; repeated rows get equal spans
 (rows are told apart by id and text hash); null ids take part; an empty table
 gives no row; other columns are not read. Rows of equal id and text are one.
@@ -47,7 +51,10 @@ LOOSE_AT = re.compile(r"@[A-Za-z0-9-]+| ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?: ?(?:\.|[
 MIN_SUPPORT = 3
 MIN_CONFIDENCE = 0.8
 MIN_SCORE = 0.8
-ROUNDS = 3
+#: A score moves if it changes by more.
+STILL = 1e-6
+#: Characters of the longest context word that is told from others.
+LONG = 64
 
 
 def _luhn(digits: str) -> bool:
@@ -110,12 +117,33 @@ def loose_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     return out
 
 
+def _before(text: str, at: int) -> tuple[str | None, int]:
+    """The word that ends before this place, and where it starts."""
+    while at and text[at - 1].isspace():
+        at -= 1
+    near = text[max(0, at - LONG - 1):at].split()
+    if not near:
+        return None, 0
+    return ("<long>", 0) if len(near[-1]) > LONG else (near[-1].lower(), at - len(near[-1]))
+
+
+def _behind(text: str, at: int) -> str | None:
+    """The word that starts behind this place."""
+    while at < len(text) and text[at].isspace():
+        at += 1
+    near = text[at:at + LONG + 1].split()
+    return (near[0].lower() if len(near[0]) <= LONG else "<long>") if near else None
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
     """The two words to the left; the word on either side."""
-    left = text[max(0, start - 80):start].lower().split()[-2:]
-    right = text[end:end + 40].lower().split()[:1]
-    out = [" ".join(left) + " _"] if len(left) == 2 else []
-    return out + [f"{left[-1]} _ {right[0]}"] if left and right else out
+    left, at = _before(text, start)
+    if left is None:
+        return []
+    second = _before(text, at)[0]
+    right = _behind(text, end)
+    out = [f"{second} {left} _"] if second is not None else []
+    return out + [f"{left} _ {right}"] if right is not None else out
 
 
 def value(kind: str, text: str) -> str:
@@ -165,33 +193,38 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.mapInArrow(_scan, ROW_DDL)
 
 
-def confident(occurrences: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def confident(occurrences: DataFrame, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(kind, pattern, confidence) of confident patterns and (kind, value, score) of what they name.
 
-    occurrences: kind, value, seed, patterns.
+    occurrences: kind, value, seed, patterns. rounds None: until no score moves.
     """
     edges = occurrences.select("kind", "value", "seed", F.explode("patterns").alias("pattern"))
     graph = materialize(edges.groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed")), "pii-graph")
     totals = graph.groupBy("pattern").agg(F.count("*").alias("total"))
     scores = graph.groupBy("kind", "value").agg(F.max("seed").cast("double").alias("score"))
-    for _ in range(rounds):
-        mass = graph.join(scores, ["kind", "value"]).groupBy("kind", "pattern").agg(
+    done = 0
+    while True:
+        known = graph.join(scores.select("kind", "value", "score"), ["kind", "value"])
+        mass = known.groupBy("kind", "pattern").agg(
             F.sum(F.round("score", 9).cast("decimal(20,9)")).cast("double").alias("mass"),
             F.sum((F.col("score") >= MIN_SCORE).cast("long")).alias("support"),
         )
         share = F.col("mass") / F.col("total")
         trusted = mass.join(totals, "pattern").where((F.col("support") >= MIN_SUPPORT) & (share >= MIN_CONFIDENCE))
         trusted = materialize(trusted.select("kind", "pattern", share.alias("confidence")), "pii-patterns")
-        doubt = F.log1p(-F.least("confidence", F.lit(0.999)))
+        # A pattern that is not trusted adds nothing; least() would skip its null.
+        doubt = F.when(F.col("confidence").isNotNull(), F.log1p(-F.least("confidence", F.lit(0.999))))
         doubt = F.sum(F.coalesce(F.round(doubt, 9), F.lit(0.0)).cast("decimal(20,9)")).cast("double")
-        reached = graph.join(trusted, ["kind", "pattern"], "left").groupBy("kind", "value")
-        scores = materialize(
-            reached.agg(F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(doubt)).alias("score")), "pii-scores"
-        )
-    return trusted, scores
+        reached = known.join(trusted, ["kind", "pattern"], "left").groupBy("kind", "value")
+        new = F.when(F.max("seed"), 1.0).otherwise(1 - F.exp(doubt))
+        scores = materialize(reached.agg(new.alias("score"), F.max("score").alias("before")), "pii-scores")
+        done += 1
+        still = not scores.where(F.abs(F.col("score") - F.col("before")) > STILL).limit(1).count()
+        if still or done == rounds:
+            return trusted, scores.drop("before")
 
 
-def discovered(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def discovered(scanned: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, hash and spans (array of kind, start, end) of documents in which patterns found something."""
     seen = scanned.select("doc_id", "hash", F.explode("seen").alias("s")).select("doc_id", "hash", "s.*")
     trusted, scores = confident(seen, rounds)
@@ -214,7 +247,7 @@ def _text_of(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(F.concat(parts, more)), lambda x: x["x"]), ",")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """doc_id, hash of the text, counts of base entities, base and all spans as text."""
     scanned = materialize(scan(docs, id_col, text_col), "pii-scan")
     found = discovered(scanned, rounds).select(
