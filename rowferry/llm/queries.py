@@ -129,10 +129,11 @@ ORACLES: dict[str, str] = {
     "op1_warc": f"""
         with p as (select page_id, coalesce(html, '') as html, sha1(coalesce(html, '')) as h from pages),
         r as (select page_id, strlen(html)::bigint as payload_bytes, {_BASE32} as payload_digest,
-                max(page_id) over (partition by h) as original from p)
+                max(page_id) over (partition by h) as original,
+                row_number() over (partition by h order by page_id desc nulls last) as nth from p)
         select page_id, payload_bytes, payload_digest,
-          case when page_id = original then 'response' else 'revisit' end as record_type,
-          case when page_id <> original then original end as refers_to
+          case when nth = 1 then 'response' else 'revisit' end as record_type,
+          case when nth > 1 then original end as refers_to
         from r""",
     "op3_nearest": """
         with v as (select vec_id, embedding::double[] as e from embeddings
