@@ -27,3 +27,7 @@ class JobError(FerryError):
     """A job that started and had to stop."""
 
     code = "ETL_ERROR"
+
+
+class ConflictError(JobError):
+    """Another writer changed the target first."""

@@ -15,6 +15,7 @@ DATETIME_FROM_TEXT = ("無法將「", "」解析為日期時間")
 DATE_FROM_TEXT = ("無法將「", "」解析為日期")
 UNSUPPORTED = "不支援 Some({source}) → {target} 的轉換"
 NULL_NOT_ALLOWED = "欄位為空，但 NULL 政策為不允許"
+UNFIT = ("「", "」超出 {type} 可儲存的範圍")
 LOOKUP_MISS = "查表 [{alias}] 查無對應："
 
 # --- fixed values: job outcomes ---------------------------------------------

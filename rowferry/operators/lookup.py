@@ -86,10 +86,10 @@ def order_key(columns: list[str] | list[Column]) -> Column:
 
 
 def last_per_key(
-    df: DataFrame, keys: dict[str, Column], values: list[Column], order_by: list
+    df: DataFrame, keys: dict[str, Column], values: list[Column], order_by: list, count: str | None = None
 ) -> DataFrame:
-    """One row per complete key: ``__ferry_v``, the struct of the last row's values."""
-    return _fold(df, keys, values, order_by, F.max_by)
+    """One row per complete key: ``__ferry_v``, the struct of the last row's values; ``count`` names their number."""
+    return _fold(df, keys, values, order_by, F.max_by, count)
 
 
 def first_per_key(
@@ -98,7 +98,7 @@ def first_per_key(
     return _fold(df, keys, values, order_by, F.min_by)
 
 
-def _fold(df, keys, values, order_by, pick) -> DataFrame:
+def _fold(df, keys, values, order_by, pick, count=None) -> DataFrame:
     complete = reduce(lambda a, b: a & b, [k.isNotNull() for k in keys.values()])
     return (
         df.where(complete)
@@ -108,7 +108,7 @@ def _fold(df, keys, values, order_by, pick) -> DataFrame:
             order_key(order_by).alias("__o"),
         )
         .groupBy(*keys)
-        .agg(pick("__v", "__o").alias("__ferry_v"))
+        .agg(pick("__v", "__o").alias("__ferry_v"), *([F.count(F.lit(1)).alias(count)] if count else []))
     )
 
 

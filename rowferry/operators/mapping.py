@@ -6,10 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowferry import messages as M
 from rowferry.errors import ConfigError
 from rowferry.functions.convert import converted, failure
+from rowferry.functions.stored import unfit
 from rowferry.functions.text import pinned
 from rowferry.types import Kind, Value, quoted, values_of
 
@@ -79,10 +81,12 @@ def convert_columns(
     df: DataFrame,
     operands: list[tuple[str, str, Value, Kind, bool]],
     carried: list[Column],
+    stored: dict[str, T.StructField] | None = None,
 ) -> DataFrame:
     """Converted columns, carried columns and ``__fail``.
 
     ``operands``: output name, name to report, value, kind, whether NULL is allowed.
+    ``stored``: target columns by output name; values that they cannot hold fail.
     Two projections: the first converts, the second looks at the outcomes, so no
     value is converted twice and failures cost good rows nothing but NULL checks.
     """
@@ -100,6 +104,10 @@ def convert_columns(
             absent = done if same or kind is Kind.TEXT else raw.column
             missing = F.when(absent.isNull(), F.lit(M.NULL_NOT_ALLOWED))
             reason = missing if reason is None else missing.otherwise(reason)
+        if stored and name in stored:
+            narrow = unfit(done, kind, stored[name])
+            if narrow is not None:
+                reason = narrow if reason is None else F.coalesce(reason, narrow)
         outputs.append(done.alias(name))
         failures.append((reported, reason))
     kept = [f"__c{k}" for k in range(len(carried))]

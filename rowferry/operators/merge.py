@@ -79,8 +79,12 @@ def apply_updates(
     changes: DataFrame,
     key_names: list[str],
     columns: list[str],
+    hit: str | None = None,
 ) -> DataFrame:
-    """Target with ``columns`` set from ``changes.__ferry_v`` where the key matches (at most one change)."""
+    """Target with ``columns`` set from ``changes.__ferry_v`` where the key matches (at most one change).
+
+    ``hit`` names a column with the number of changes that hit a row (``changes.__ferry_n``), NULL for untouched rows.
+    """
     joined = keyed_join(target, target_keys, changes, key_names, "left", _own_salt(target))
     set_columns = {c.lower(): c for c in columns}
     changed = changes.schema["__ferry_v"].dataType
@@ -93,7 +97,7 @@ def apply_updates(
             out.append(F.when(F.col("__ferry_v").isNotNull(), new).otherwise(old).alias(field.name))
         else:
             out.append(old.alias(field.name))
-    return joined.select(*out)
+    return joined.select(*out, *([F.col("__ferry_n").alias(hit)] if hit else []))
 
 
 def apply_deletes(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,16 @@ class JobResult:
     tables: dict[str, DataFrame] = field(default_factory=dict)
     inserted: dict[str, list[DataFrame]] = field(default_factory=dict)
     rejects: DataFrame | None = None
+    #: Seconds from the first count to the last write.
+    elapsed_seconds: float = 0.0
+    #: Versions of the written tables after the job.
+    versions: dict[str, int] = field(default_factory=dict)
+    #: Lazy: keys and hidden rows of each lookup.
+    duplicates: list[DataFrame] = field(default_factory=list)
+
+    def lookup_duplicates(self) -> DataFrame | None:
+        """``(work, lookup, keys, duplicates)``: rows of lookups that a later row of the same key hides."""
+        return reduce(lambda a, b: a.unionAll(b), self.duplicates) if self.duplicates else None
 
     def report(self, rows: int = REPORT_ROWS) -> DataFrame | None:
         """The first rejects by row number; ``rejects`` holds all of them."""

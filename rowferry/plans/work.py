@@ -7,12 +7,14 @@ see what earlier ones wrote.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from rowferry.errors import ConfigError
 from rowferry.functions.exprs import Col, Expr, Scope, as_const
@@ -22,8 +24,8 @@ from rowferry.operators.lookup import (
     Lookup,
     attach_lookup,
     equality_pairs,
-    keyed_join,
     last_per_key,
+    lookup_duplicates,
 )
 from rowferry.operators.mapping import (
     FAILURE_TYPE,
@@ -43,6 +45,7 @@ from rowferry.operators.merge import (
 from rowferry.operators.numbering import with_row_no
 from rowferry.plans.result import JobResult, WorkCounts
 from rowferry.scratch import materialize
+from rowferry.sources.versions import Manifest, VersionedTable
 from rowferry.types import (
     Kind,
     Value,
@@ -53,9 +56,10 @@ from rowferry.types import (
     values_of,
 )
 
-ROW, FAIL, MATCH, ACTION = "__row", "__fail", "__match", "__action"
+ROW, FAIL, MATCH, ACTION, HIT = "__row", "__fail", "__match", "__action", "__hit"
 
-Tables = dict[str, DataFrame]
+#: A table may be a frame, or a versioned table that works write.
+Tables = dict[str, DataFrame | VersionedTable]
 
 
 @dataclass
@@ -238,11 +242,13 @@ class Work:
         )
         order = [F.col(quoted(resolve_name(names, o, "source"))) for o in self._order]
         salt = F.xxhash64(*order)
-        hits, misses = [], []
+        hits, misses, lookups = [], [], []
         for lk in self._lookups:
+            side = _table(lk.table, tables, f"lookup [{lk.alias}]")
+            lookups.append((lk.alias, side, [c for _, c in lk.on]))
             spec = Lookup(
                 lk.alias,
-                _table(lk.table, tables, f"lookup [{lk.alias}]"),
+                side,
                 [(e, Col(lk.alias, c)) for e, c in lk.on],
                 lk.order_by,
                 lk.how,
@@ -255,7 +261,7 @@ class Work:
             if lk.how == "inner":
                 hits.append(hit)
                 misses.append((lk.alias, miss))
-        return WorkPlan(self, df, scope, target, order, salt, hits, misses)
+        return WorkPlan(self, df, scope, target, order, salt, hits, misses, lookups)
 
 
 @dataclass
@@ -270,6 +276,8 @@ class WorkPlan:
     salt: Column
     hits: list[Column]
     misses: list[tuple[str, Column]]
+    #: Alias, table and key columns of every lookup.
+    lookups: list[tuple[str, DataFrame, list[str]]] = field(default_factory=list)
     # Set by ``stage``: rows by action, already joined and filtered.
     staged: DataFrame | None = None
     written: DataFrame | None = None
@@ -359,7 +367,7 @@ class WorkPlan:
         if self.work._on:
             source_keys, _ = self._key_sides()
             rows = first_wins(rows, source_keys, self.order)
-        return convert_columns(rows, self._assign(self.work._insert), [F.col(ROW)])
+        return convert_columns(rows, self._assign(self.work._insert), [F.col(ROW)], self._stored())
 
     def inserts(self) -> DataFrame:
         return good_rows(self.tagged_inserts(), self._set_names(self.work._insert))
@@ -382,7 +390,7 @@ class WorkPlan:
             *[o.alias(f"__o{i}") for i, o in enumerate(self.order)],
             F.col(ROW),
         ]
-        rows = convert_columns(self._rows(action), sets + keys, carried)
+        rows = convert_columns(self._rows(action), sets + keys, carried, self._stored())
         values = [F.col(quoted(name)) for name, *_ in sets] or [F.lit(True).alias("x")]
         return rows.select(
             *[f"__ferry_k{i}" for i in range(len(keys))],
@@ -394,7 +402,7 @@ class WorkPlan:
         )
 
     def changes(self) -> DataFrame:
-        """One change per key: the last source row wins. Columns ``__ferry_k*`` and ``__ferry_v``."""
+        """One change per key: the last source row wins. Columns ``__ferry_k*``, ``__ferry_v`` and, of updates, their number ``__ferry_n``."""
         good = self.tagged_changes().where(F.col(FAIL).isNull())
         prefix = "e" if self.work._match == "exact" else "k"
         keys = {f"__ferry_k{i}": F.col(f"__ferry_{prefix}{i}") for i in range(len(self.work._on))}
@@ -402,7 +410,7 @@ class WorkPlan:
             return distinct_keys(good, list(keys.values()), list(keys))
         order = [F.col(f"__o{i}") for i in range(len(self.order))]
         columns = [F.col("__ferry_v")[c].alias(c) for c in self._set_names(self.work._update)]
-        return last_per_key(good, keys, columns, order)
+        return last_per_key(good, keys, columns, order, "__ferry_n")
 
     # --- results -----------------------------------------------------------
 
@@ -415,13 +423,25 @@ class WorkPlan:
             frames.append(reject_rows(self.tagged_changes()))
         return reduce(lambda a, b: a.unionAll(b), frames)
 
+    def lookup_duplicates(self) -> list[DataFrame]:
+        """For each lookup ``(work, lookup, keys, duplicates)``: distinct keys, and rows hidden by a later one."""
+        return [
+            lookup_duplicates(table, columns).select(
+                F.lit(self.work.name).alias("work"), F.lit(alias).alias("lookup"), "keys", "duplicates"
+            )
+            for alias, table, columns in self.lookups
+        ]
+
     def _missed_rows(self) -> DataFrame:
         if self.staged is None:
             return self.missed
         return reject_rows(self.staged.where(F.col(ACTION) == "reject"))
 
-    def apply(self) -> DataFrame:
-        """The target after this work: inserts, then updates, then deletes."""
+    def apply(self, hit: str | None = None) -> DataFrame:
+        """The target after this work: inserts, then updates, then deletes.
+
+        ``hit`` names a column with the number of updates that hit a row.
+        """
         work, out = self.work, self.target
         if work._insert:
             out = apply_inserts(out, self.inserts())
@@ -430,7 +450,7 @@ class WorkPlan:
         keys = self._stored_keys()
         names = [f"__ferry_k{i}" for i in range(len(keys))]
         if work._update:
-            return apply_updates(out, keys, self.changes(), names, self._set_names(work._update))
+            return apply_updates(out, keys, self.changes(), names, self._set_names(work._update), hit)
         return apply_deletes(out, keys, self.changes(), names)
 
     def _stored_keys(self) -> list[Column]:
@@ -448,6 +468,9 @@ class WorkPlan:
             operands.append((column, name, e.bind(self.scope), kind, True))
         return operands
 
+    def _stored(self) -> dict[str, StructField]:
+        return {f.name: f for f in self.target.schema}
+
     def _set_names(self, assignments: dict[str, Expr]) -> list[str]:
         what = f"target [{self.work.target}]"
         return [resolve_name(self.target.columns, n, what) for n in assignments]
@@ -500,9 +523,10 @@ class WorkPlan:
         return df.where(F.col(ACTION) != "skip").select(*needed, FAIL, ACTION)
 
     def counts(self) -> WorkCounts:
-        """Inserted, updated, deleted and rejected rows of a staged plan.
+        """Inserted and rejected rows of a staged plan.
 
-        One aggregate per staged table, which reads the outcome column only.
+        One aggregate per staged table, which reads the outcome column only. Updated
+        and deleted rows are counted in the written snapshot, see ``affected``.
         """
         work = self.work
         counts = WorkCounts(work.name)
@@ -512,17 +536,19 @@ class WorkPlan:
             counts.inserted, bad = _good_and_bad(self.written)
             counts.rejected += bad
         if work._update or work._delete:
-            counts.updated, bad = _good_and_bad(self.changed)
-            counts.rejected += bad
-        if work._delete:
-            counts.updated = 0
-            keys = self._stored_keys()
-            names = [f"__ferry_k{i}" for i in range(len(keys))]
-            counts.deleted = keyed_join(
-                self.target, keys, self.changes(), names, "left_semi"
-            ).count()
+            counts.rejected += self.changed.where(F.col(FAIL).isNotNull()).count()
         return counts
 
+    def affected(self, counts: WorkCounts, snapshot: DataFrame) -> None:
+        """Count the rows that updates and deletes hit, in the snapshot that was written with its HIT column.
+
+        A target row counts once for every change to it, as if they ran one by one; a deleted row counts once.
+        """
+        if self.work._update:
+            counts.updated = snapshot.agg(F.coalesce(F.sum(HIT), F.lit(0))).first()[0]
+        if self.work._delete:
+            counts.deleted = self.target.count() + counts.inserted - snapshot.count()
+
 
 def _good_and_bad(tagged: DataFrame) -> tuple[int, int]:
     bad = F.count_if(F.col(FAIL).isNotNull())
@@ -539,13 +565,21 @@ def run_works(
 
     All works are checked before the first one starts. A work that fails while
     writing ends the job with status ``failed``; what earlier works did stays.
-    Works that only add rows leave the target as it is and union the staged
-    rows; updates and deletes write a new snapshot to scratch.
+
+    A target that is a ``VersionedTable`` is written: a work that only adds rows
+    appends a version, updates and deletes write a snapshot as the next one. Each
+    work commits by itself, and fails if another job wrote the table since it read
+    it. Targets that are frames stay as they are: added rows are unioned, updates
+    and deletes write a new snapshot to scratch.
     """
     for w in works:
         w.validate()
     clock = clock or JobClock()
+    began = time.monotonic()
+    stores = {k.lower(): v for k, v in tables.items() if isinstance(v, VersionedTable)}
+    bases = {k: v.manifest(spark) for k, v in stores.items()}
     state = {k.lower(): v for k, v in tables.items()}
+    state |= {k: v.read(spark, bases[k].version) for k, v in stores.items()}
     result = JobResult(clock=clock)
     total = _table(works[0]._source, state, "source").count() if works else 0
     result.total_rows = total
@@ -555,30 +589,50 @@ def run_works(
         if not (work._insert or work._update or work._delete):
             result.works.append(WorkCounts(work.name))
             continue
+        name = work.target.lower()
         try:
             plan = plan.stage()
             counts = plan.counts()
-            after = plan.apply()
-            if work._update or work._delete:
-                after = materialize(after, "snapshot")
+            if name in stores:
+                bases[name] = _write(spark, plan, counts, stores[name], bases[name])
+                after = stores[name].read(spark, bases[name].version)
+            else:
+                after = plan.apply(HIT if work._update else None)
+                if work._update or work._delete:
+                    after = materialize(after, "snapshot")
+                    plan.affected(counts, after)
+                    after = after.drop(HIT)
         except ConfigError:
             raise
         except Exception as e:  # noqa: BLE001 - any failed write ends the job with its reason
             result.status, result.failure = "failed", f"{work.name}: {e}"
             break
-        state[work.target.lower()] = after
+        state[name] = after
         if work._insert:
             result.inserted.setdefault(work.target, []).append(plan.inserts())
         result.works.append(counts)
         result.success_rows += counts.inserted + counts.updated + counts.deleted
         result.error_rows += counts.rejected
         rejects.append(plan.rejects().select(F.lit(work.name).alias("work"), "*"))
+        result.duplicates += plan.lookup_duplicates()
     result.tables = state
+    result.versions = {k: m.version for k, m in bases.items()}
+    result.elapsed_seconds = time.monotonic() - began
     if rejects:
         result.rejects = reduce(lambda a, b: a.unionAll(b), rejects)
     return result
 
 
+def _write(spark: SparkSession, plan: WorkPlan, counts: WorkCounts, table: VersionedTable, base: Manifest) -> Manifest:
+    """The version of the target after a staged work."""
+    work = plan.work
+    if not (work._update or work._delete):
+        return table.append(plan.inserts(), base)
+    part = table.write_part(plan.apply(HIT if work._update else None), base.schema)
+    plan.affected(counts, spark.read.parquet(f"{table.path}/{part}"))
+    return table.commit(spark, base, [part], "update" if work._update else "delete")
+
+
 def _assignments(given: dict[str, Any]) -> dict[str, Expr]:
     lowered = [k.lower() for k in given]
     if len(set(lowered)) != len(lowered):
@@ -590,7 +644,10 @@ def _table(table: DataFrame | str | None, tables: Tables, what: str) -> DataFram
     if isinstance(table, str):
         if table.lower() not in tables:
             raise ConfigError(f"{what}: table [{table}] is not among {', '.join(tables)}")
-        return tables[table.lower()]
+        found = tables[table.lower()]
+        if isinstance(found, VersionedTable):
+            raise ConfigError(f"{what}: read the versioned table [{table}] first, or run the work")
+        return found
     if table is None:
         raise ConfigError(f"no {what}")
     return table

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from rowferry.errors import ConfigError
 from rowferry.functions.text import display
+from rowferry.sources.versions import fitted
 from rowferry.types import Kind, quoted, values_of
 
 # Date formats of exported text.
@@ -17,9 +20,16 @@ EXPORT_DATE = "yyyy-MM-dd"
 
 
 def append_rows(df: DataFrame, target: str, partition_by: list[str] | None = None) -> None:
-    """Append to a catalog table or Parquet folder in one committed job."""
-    writer = df.write.mode("append")
+    """Append to a catalog table or Parquet folder in one committed job.
+
+    Columns are matched by name and take the stored types; a value that does not
+    fit its type fails the job before anything is committed.
+    """
     if "/" in target:
+        stored = _stored_schema(df.sparkSession, target)
+        if stored is not None:
+            df = _as_stored(df, stored, target, partition_by or [])
+        writer = df.write.mode("append")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(target)
     elif df.sparkSession.catalog.tableExists(target):
         columns = df.sparkSession.table(target).columns
@@ -32,9 +42,29 @@ def append_rows(df: DataFrame, target: str, partition_by: list[str] | None = Non
         )
         padded.write.mode("append").insertInto(target)
     else:
+        writer = df.write.mode("append")
         (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(target)
 
 
+def _stored_schema(spark: SparkSession, folder: str) -> T.StructType | None:
+    """The types of a Parquet folder; None if there is none yet."""
+    try:
+        return spark.read.parquet(folder).schema
+    except AnalysisException:
+        return None
+
+
+def _as_stored(df: DataFrame, stored: T.StructType, target: str, partition_by: list[str]) -> DataFrame:
+    """Partition columns stay as they are: their stored type is only a guess from folder names."""
+    own = {f.name.lower(): f for f in df.schema}
+    parts = {c.lower() for c in partition_by}
+    unknown = [c for c in df.columns if c.lower() not in {f.name.lower() for f in stored}]
+    if unknown:
+        raise ConfigError(f"target {target} has no column {', '.join(unknown)}")
+    kept = [own[f.name.lower()] if f.name.lower() in parts and f.name.lower() in own else f for f in stored]
+    return fitted(df, T.StructType(kept), target)
+
+
 def publish_snapshot(
     df: DataFrame, target: str, partition_by: list[str] | None = None, touched_only: bool = False
 ) -> None:

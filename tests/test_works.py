@@ -162,10 +162,16 @@ def test_failed_write_stops_the_job(spark, tables):
     result = run_works(spark, [Work("u").source("s", "s", order_by="ord").into("small", "k").on(
         [("s.ord", "k.n")]).not_matched_add({"n": 1}), worse], tables)
     assert result.status == "completed"
+    # Values beyond the stored type are rejects, not a failed write.
     over = Work("over").source("s", "s", order_by="ord").into("t", "t").on([("s.email", "t.email")]).matched_update(
         {"n": lit(2**40)})
     result = run_works(spark, [over, bad], tables)
-    assert result.status == "failed" and "over" in result.failure and not result.works
+    assert (result.status, result.success_rows, result.error_rows) == ("completed", 0, 5)
+    assert rows(result.tables["t"], "id") == sorted(TARGET)
+    tables["s"] = tables["s"].withColumn("label", F.when(F.col("ord") < 9, F.col("label")).otherwise(F.raise_error(F.lit("boom"))))
+    fails = Work("fails").source("s", "s", order_by="ord", row="ord").into("t", "t").add({"label": col("s.label")})
+    result = run_works(spark, [fails, bad], tables)
+    assert result.status == "failed" and "fails" in result.failure and not result.works
 
 
 def test_zoned_targets_store_utc(spark):
