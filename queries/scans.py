@@ -370,3 +370,23 @@ def rows_to_json_query(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     keyed = rows_to_json(events)
     return keyed.select(F.get_json_object("json", "$.event_id").cast("bigint").alias("event_id"), "json")
+
+
+@query(
+    "scan_csv_quoted",
+    """select cast(row_number() over (order by c_custkey) + 1 as bigint) as line, cast(c_custkey as varchar) as k,
+         case when c_custkey % 3 = 0 then concat(c_name, chr(10), chr(10), '"', c_mktsegment, '", x')
+           when c_custkey % 3 = 1 then '   ' else c_name end as note from customer""",
+)
+def scan_csv_quoted(spark, sf_dir):
+    """Quoted line ends, quotes, commas and blanks in a file that is read by several tasks, with record numbers."""
+    path = scratch_path(spark, "quoted")
+    note = F.when(F.col("c_custkey") % 3 == 0, F.expr("concat(c_name, '\n\n', '\"', c_mktsegment, '\", x')"))
+    note = note.when(F.col("c_custkey") % 3 == 1, F.lit("   ")).otherwise(F.col("c_name"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), note.alias("note"))
+    quoted = rows.select(F.concat(F.col("k").cast("string"), F.lit(',"'), F.replace("note", F.lit('"'), F.lit('""')), F.lit('"')).alias("value"), "k")
+    # One file for each range of keys, so that the files' order is the keys' order.
+    quoted.repartitionByRange(3, "k").sortWithinPartitions("k").select("value").write.option("lineSep", "\n").text(path)
+    return read_csv(spark, path, has_header=False, typed=False, row_no="line").toDF("line", "k", "note").select(
+        (F.col("line") + 1).alias("line"), "k", "note"
+    )

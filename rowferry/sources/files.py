@@ -11,6 +11,7 @@ from rowferry.errors import ConfigError, SourceError
 from rowferry.functions.sniff import sniff_cells
 from rowferry.functions.text import display
 from rowferry.scratch import materialize
+from rowferry.sources import records
 from rowferry.types import Kind, quoted, values_of
 
 # File endings read as CSV (always with commas), and workbook endings.
@@ -111,9 +112,11 @@ def read_csv(
     The frame is as wide as the widest record, ``n_columns`` at least: cells
     beyond the header get numbered names, shorter records NULLs. Empty lines are
     skipped, a line of blanks is a record. A byte-order mark goes before ``encoding``.
-    ``multi_line=None`` looks at the lines first: a file whose records never
-    cross a line end is split over tasks; the others, and files with lines of
-    blanks, are read file by file.
+    ``multi_line=None`` looks at the lines first: files whose records never
+    cross a line end are read line by line; of the others, and of files with lines
+    of blanks, the quote state is followed from block to block (``records``), so
+    they are split over tasks, too. ``multi_line=True`` reads file by file, as UTF-16
+    and UTF-32 need.
     ``row_no`` adds line numbers (the header is line 1).
     """
     encoding = marked_encoding(spark, path) or encoding
@@ -122,23 +125,45 @@ def read_csv(
     width = n_columns or 0
     if not multi_line:
         profile = profile_lines(spark, path).first()
-        # A split file is read line by line, and lines of blanks are left out there.
-        multi_line = profile["blank_records"] or (multi_line is None and not profile["whole_records"])
+        if profile["blank_records"] or (multi_line is None and not profile["whole_records"]):
+            # A split file is read line by line, and lines of blanks are left out there.
+            return _read_records(spark, path, encoding, has_header, width, typed, row_no)
         width = max(width, profile["width"])
-    first = _reader(spark, encoding, multi_line, False).csv(path)
+    first = _reader(spark, encoding, bool(multi_line), False).csv(path)
     width = max(width, len(first.columns))
     if width == 0:
         raise SourceError(f"no rows in {path}")
     if multi_line:
         width = _surplus_width(_reader(spark, encoding, True, False), path, width)
     names = column_names(first if has_header else None, width)
-    raw = _reader(spark, encoding, multi_line, has_header).schema(_text_schema(width)).csv(path)
+    raw = _reader(spark, encoding, bool(multi_line), has_header).schema(_text_schema(width)).csv(path)
     if row_no:
         raw = _with_line_no(raw, 2 if has_header else 1, row_no)
     df = raw.toDF(*([row_no] if row_no else []), *names)
     return sniff_cells(df, names) if typed else df
 
 
+def _read_records(
+    spark: SparkSession, path: str, encoding: str | None, has_header: bool, width: int, typed: bool, row_no: str | None
+) -> DataFrame:
+    """Files whose records cross line ends or are blank, split over tasks all the same."""
+    placed = records.placed_lines(spark, path)
+    widest, longest = records.survey(placed)
+    records.check_length(longest, path)
+    width = max(width, widest)
+    found = records.records(placed, encoding)
+    ddl = ", ".join(f"c{i} string" for i in range(width))
+    cells = found.select("file_no", "file_base", "record", F.from_csv("text", ddl, records.OPTIONS).alias("x"))
+    first = cells.where("record = 1 and file_no = 0").select("x.*")
+    names = column_names(first if has_header else None, width)
+    rows = cells.where("record > 1") if has_header else cells
+    # The header of this file has a number, those of the files before have none.
+    number = F.col("file_base") + F.col("record") - (F.col("file_no") if has_header else F.lit(0))
+    numbered = [number.cast("bigint").alias("__no")] if row_no else []
+    df = rows.select(*numbered, "x.*").toDF(*([row_no] if row_no else []), *names)
+    return sniff_cells(df, names) if typed else df
+
+
 def column_names(first: DataFrame | None, width: int) -> list[str]:
     """Header cells that are text name their column; others are numbered.
 

@@ -193,3 +193,65 @@ def test_export_round_trip(spark, folder):
     back = read_csv(spark, f"{folder}/out", typed=False)
     assert back.columns == df.columns
     assert tuple(back.first()) == ("1", 'a,"b"', "2026-01-02 03:04:05", "2026-01-02", "10000000", "true")
+
+
+def python_records(text):
+    import csv
+    import io
+
+    return [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_split_records_as_read_in_one_piece(spark, folder, seed):
+    """Quoted line ends, doubled quotes, blanks and empty lines over many small blocks."""
+    import random
+
+    pick = random.Random(seed)
+    cells = ["a", "b c", '"x,y"', '"line\nend"', '"two\n\nlines, ""quoted"""', '""', "", "  ", '"\n"', "end", "漢字", '"q""\n,""r"']
+    ends = ["\n", "\n", "\n", "\r\n", "\n\n"]
+    text = "h1,h2\n" + "".join(
+        ",".join(pick.choice(cells) for _ in range(pick.randint(2, 4))) + pick.choice(ends) for _ in range(150))
+    paths = [write(folder, f"{name}.csv", text) for name in ("a", "b")]
+    # A quoted field that is alone and empty is a record; Python's reader agrees.
+    want = [r for r in python_records(text)][1:]
+    width = max(map(len, want))
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        df = read_csv(spark, folder, typed=False, row_no="line")
+        got = [tuple(r) for r in df.orderBy("line").collect()]
+        assert read_csv(spark, paths[0], typed=False).count() == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+    assert [r[0] for r in got] == list(range(2, 2 + 2 * len(want)))
+    shown = [tuple(c or None for c in r[1:]) for r in got]
+    assert shown == [tuple((c or None) for c in r) + (None,) * (width - len(r)) for r in want * 2]
+
+
+def test_one_big_quoted_file_is_read_by_many_tasks(spark, folder):
+    text = "k,v\n" + "".join(f'{i},"{"x" * (i % 50)}\n{i}"\n' for i in range(20000))
+    path = write(folder, "big.csv", text)
+    saved = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        df = read_csv(spark, path, typed=False, row_no="line")
+        wrong = df.where((F.col("line") != F.col("k").cast("bigint") + 2) | ~F.endswith("v", F.concat(F.lit("\n"), F.col("k"))))
+        assert (wrong.count(), df.count()) == (0, 20000)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan text" in plan and "FileScan csv" not in plan
+        from rowferry.sources.records import placed_lines
+
+        assert placed_lines(spark, path).select("file", "block").distinct().count() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", saved)
+
+
+def test_a_quote_that_is_never_closed_is_named(spark, folder, monkeypatch):
+    from rowferry.sources import records
+
+    path = write(folder, "open.csv", 'a,b\n1,"x\n' + "row,row\n" * 100)
+    assert read_csv(spark, path).count() == 1
+    monkeypatch.setattr(records, "MOST_RECORD_BYTES", 100)
+    with pytest.raises(SourceError, match="closed"):
+        read_csv(spark, path)
