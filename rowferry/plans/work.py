@@ -26,6 +26,7 @@ from rowferry.operators.lookup import (
     equality_pairs,
     last_per_key,
     lookup_duplicates,
+    order_key,
 )
 from rowferry.operators.mapping import (
     FAILURE_TYPE,
@@ -103,7 +104,7 @@ class Work:
         first_row: int = 1,
     ) -> "Work":
         """Main rows. ``order_by`` is a unique order; ``row`` names a column that already
-        holds row numbers, otherwise rows are numbered from ``first_row`` in that order."""
+        holds row numbers, otherwise rejects are numbered from ``first_row`` in that order."""
         self._source, self.alias = table, alias
         self._order = [order_by] if isinstance(order_by, str) else list(order_by)
         self._row, self._first_row = row, first_row
@@ -227,8 +228,10 @@ class Work:
         source = normalize_types(_table(self._source, tables, "source"))
         self.validate(source.columns)
         target = _table(self.target, tables, "target")
+        ordering = [resolve_name(source.columns, o, "source") for o in self._order]
         if self._row is None:
-            df = with_row_no(source, self._order, self._first_row, ROW)
+            # Rows carry their place in the order; only rejects are ever numbered.
+            df = source.withColumn(ROW, order_key([F.col(quoted(o)) for o in ordering]))
         else:
             number = F.col(quoted(resolve_name(source.columns, self._row, "source")))
             df = source.withColumn(ROW, number.cast("bigint"))
@@ -240,7 +243,8 @@ class Work:
             [own[n] for n in names],
             clock or JobClock(),
         )
-        order = [F.col(quoted(resolve_name(names, o, "source"))) for o in self._order]
+        order = [F.col(quoted(o)) for o in ordering]
+        keys = source.select(*order) if self._row is None else None
         salt = F.xxhash64(*order)
         hits, misses, lookups = [], [], []
         for lk in self._lookups:
@@ -261,7 +265,7 @@ class Work:
             if lk.how == "inner":
                 hits.append(hit)
                 misses.append((lk.alias, miss))
-        return WorkPlan(self, df, scope, target, order, salt, hits, misses, lookups)
+        return WorkPlan(self, df, scope, target, order, salt, hits, misses, lookups, keys)
 
 
 @dataclass
@@ -278,6 +282,8 @@ class WorkPlan:
     misses: list[tuple[str, Column]]
     #: Alias, table and key columns of every lookup.
     lookups: list[tuple[str, DataFrame, list[str]]] = field(default_factory=list)
+    #: Order columns of the source, where its rows have no number yet.
+    keys: DataFrame | None = None
     # Set by ``stage``: rows by action, already joined and filtered.
     staged: DataFrame | None = None
     written: DataFrame | None = None
@@ -415,13 +421,26 @@ class WorkPlan:
     # --- results -----------------------------------------------------------
 
     def rejects(self) -> DataFrame:
-        """``(row, column, reason)`` of every row that is neither written nor skipped."""
+        """``(row, column, reason)`` of every row that is neither written nor skipped.
+
+        Where the source has no row numbers, its order columns, and nothing else,
+        are sorted and written once to number them; rejects meet their number by key.
+        Rows that tie in an order that is not unique get the number of the first.
+        """
         frames = [self._missed_rows()]
         if self.work._insert:
             frames.append(reject_rows(self.tagged_inserts()))
         if self.work._update or self.work._delete:
             frames.append(reject_rows(self.tagged_changes()))
-        return reduce(lambda a, b: a.unionAll(b), frames)
+        found = reduce(lambda a, b: a.unionAll(b), frames)
+        if self.keys is None:
+            return found
+        numbered = with_row_no(self.keys, self.keys.columns, self.work._first_row, "__no")
+        numbers = numbered.groupBy(order_key([F.col(quoted(c)) for c in self.keys.columns]).alias("__key")).agg(
+            F.min("__no").alias("__no")
+        )
+        joined = found.join(numbers, F.col("row").eqNullSafe(F.col("__key")), "left")
+        return joined.select(F.col("__no").alias("row"), "column", "reason")
 
     def lookup_duplicates(self) -> list[DataFrame]:
         """For each lookup ``(work, lookup, keys, duplicates)``: distinct keys, and rows hidden by a later one."""
@@ -613,13 +632,14 @@ def run_works(
         result.works.append(counts)
         result.success_rows += counts.inserted + counts.updated + counts.deleted
         result.error_rows += counts.rejected
-        rejects.append(plan.rejects().select(F.lit(work.name).alias("work"), "*"))
+        if counts.rejected:
+            rejects.append(plan.rejects().select(F.lit(work.name).alias("work"), "*"))
         result.duplicates += plan.lookup_duplicates()
     result.tables = state
     result.versions = {k: m.version for k, m in bases.items()}
     result.elapsed_seconds = time.monotonic() - began
-    if rejects:
-        result.rejects = reduce(lambda a, b: a.unionAll(b), rejects)
+    none = spark.createDataFrame([], "work string, row bigint, column string, reason string")
+    result.rejects = reduce(lambda a, b: a.unionAll(b), rejects) if rejects else none
     return result
 
 
