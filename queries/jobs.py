@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from queries.conversion import DIRTY_CTE, DIRTY_RULES, REJECTS_SQL, dirty_job
 from queries.registry import query, table, view
-from rowferry import ABORT_ON_FIRST, Work, abort_on_error_rate, col, run_mapping, run_works
+from rowferry import ABORT_ON_FIRST, MappingJob, VersionedTable, Work, abort_on_error_rate, col, run_mapping, run_works
 from rowferry.functions.exprs import Gen
 from rowferry.operators.numbering import batch_no, with_row_no
 from rowferry.plans.mapping_job import aborting_batch, batch_stats, policy_verdict
@@ -15,6 +15,7 @@ from rowferry.scratch import scratch_path
 from rowferry.sources.files import read_csv
 from rowferry.sources.sinks import append_rows, export_csv
 from rowferry.streaming.batches import BatchJob, rejected_rows, run_batches, written_rows
+from rowferry.streaming.ledger import ledger, run_ledger
 
 D = ("dirty_events",)
 GOOD_SQL = """select event_id as id, cast(trim(raw_int) as bigint) as n, raw_bool = 'TRUE' as flag,
@@ -216,3 +217,51 @@ def batch_commit(spark, sf_dir):
         F.lit("reject").alias("outcome"), F.col("row").alias("row_no"), F.lit(None).cast("bigint").alias("id")
     )
     return good.unionAll(bad)
+
+
+def _csv_ledger(spark, sf_dir):
+    """dirty_events as a CSV file of typed cells, committed in batches of 500 lines into a table."""
+    source = scratch_path(spark, "ledger-csv")
+    export_csv(view(spark, sf_dir, "dirty_events").repartitionByRange(1, "event_id").sortWithinPartitions("event_id"), source)
+    job = MappingJob(
+        read_csv(spark, source, row_no="line"), DIRTY_RULES, order_by=[], row="line", first_row=2, batch_size=500
+    )
+    target = VersionedTable.create(
+        spark, scratch_path(spark, "ledger-target"), "id bigint, n bigint, flag boolean, at timestamp_ntz"
+    )
+    return job, target, run_ledger(spark, job, target, "load", scratch_path(spark, "ledger-job"), source)
+
+
+CSV_CTE = """with l as (select *, row_number() over (order by event_id) + 1 as line from dirty_events),
+    t as (select event_id, line, case when raw_int in ('abc', '1.5') then 'raw_int' when raw_bool = 'yes' then 'raw_bool'
+      when raw_date = '2024-02-30' then 'raw_date' end as bad from l)"""
+
+
+@query(
+    "batch_commit_csv",
+    f"""{CSV_CTE} select 'row' as outcome, cast(null as bigint) as line, event_id as id from t where bad is null
+        union all select 'reject: ' || bad, line, null from t where bad is not null""",
+    ("dirty_events",),
+)
+def batch_commit_csv(spark, sf_dir):
+    """A CSV file with typed cells, committed batch by batch into a table: its rows, and the rejects by line."""
+    _, target, result = _csv_ledger(spark, sf_dir)
+    good = target.read(spark).select(F.lit("row").alias("outcome"), F.lit(None).cast("bigint").alias("line"), "id")
+    bad = result.rejects.select(
+        F.concat(F.lit("reject: "), "column"), F.col("row"), F.lit(None).cast("bigint")
+    )
+    return good.unionAll(bad)
+
+
+@query(
+    "batch_ledger",
+    f"""{CSV_CTE}, b as (select (line - 2) // 500 as batch, count(*) as total_rows, count(*) filter (bad is null) as success_rows,
+          count(*) filter (bad is not null) as error_rows from t group by 1)
+        select batch, total_rows, success_rows, error_rows,
+          case when batch = (select max(batch) from b) then 'completed' else 'running' end as state, batch + 1 as version from b""",
+    ("dirty_events",),
+)
+def batch_ledger(spark, sf_dir):
+    """The log that the commits of a batch-wise job leave in the target's versions."""
+    _, target, _ = _csv_ledger(spark, sf_dir)
+    return ledger(spark, target, "load")

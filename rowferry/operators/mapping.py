@@ -50,7 +50,8 @@ def first_failure(failures: list[tuple[str, Column | None]]) -> Column:
 
 
 def apply_rules(
-    source: DataFrame, rules: list[Rule], row: str | None, keep: list[str] | None = None
+    source: DataFrame, rules: list[Rule], row: str | None, keep: list[str] | None = None,
+    stored: dict[str, T.StructField] | None = None,
 ) -> DataFrame:
     """Target columns plus ``__row`` and ``__fail``; every source row gives one row.
 
@@ -74,7 +75,7 @@ def apply_rules(
     ]
     number = F.col(quoted(row)) if row else F.lit(None)
     carried = [F.col(quoted(k)).alias(k) for k in keep or []]
-    return convert_columns(source, operands, [*carried, number.cast("bigint").alias("__row")])
+    return convert_columns(source, operands, [*carried, number.cast("bigint").alias("__row")], stored)
 
 
 def convert_columns(

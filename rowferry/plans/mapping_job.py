@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField
 
 from rowferry import messages as M
 from rowferry.errors import ConfigError
@@ -70,13 +71,13 @@ class MappingJob:
     def target_columns(self) -> list[str]:
         return [r.target_column for r in self.rules]
 
-    def tagged(self) -> DataFrame:
-        """Target columns, ``__row`` and ``__fail`` for every source row."""
+    def tagged(self, stored: dict[str, StructField] | None = None) -> DataFrame:
+        """Target columns, ``__row`` and ``__fail`` for every source row; ``stored``: types that values must fit."""
         self.validate()
         if self.row is not None:
-            return apply_rules(self.source, self.rules, self.row)
+            return apply_rules(self.source, self.rules, self.row, stored=stored)
         numbered = with_row_no(self.source, self.order_by, self.first_row, "__row_no")
-        return apply_rules(numbered, self.rules, "__row_no")
+        return apply_rules(numbered, self.rules, "__row_no", stored=stored)
 
 
 def outcome_counts(tagged: DataFrame) -> DataFrame:

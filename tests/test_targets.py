@@ -50,7 +50,7 @@ def test_a_writer_that_dies_before_the_manifest_leaves_the_old_version(spark, st
     def dies(*_):
         raise OSError("no space left")
 
-    monkeypatch.setattr(versions, "_create_once", dies)
+    monkeypatch.setattr(versions, "create_once", dies)
     with pytest.raises(OSError):
         store.replace(store.read(spark).limit(0))
     work = Work("w").source(store.read(spark), "s", order_by="id", row="id").into("t").add({"id": col("s.id")})
