@@ -12,6 +12,7 @@ from rowferry.sources.files import content_checksum, file_fingerprint, read_csv
 from rowferry.sources.sinks import export_csv
 from rowferry.sources.tables import (
     describe_columns,
+    file_preview,
     limit_rows,
     preview,
     query_fingerprint,
@@ -390,3 +391,23 @@ def scan_csv_quoted(spark, sf_dir):
     return read_csv(spark, path, has_header=False, typed=False, row_no="line").toDF("line", "k", "note").select(
         (F.col("line") + 1).alias("line"), "k", "note"
     )
+
+
+
+@query(
+    "infer_types_first",
+    """select cast(i as integer) as "index", name, kind as inferred_type, encoding, n_rows from (values
+         (0, 'event_id', 'integer'), (1, 'late', 'integer'), (2, 'moment', 'datetime'), (3, 'kind', 'text')) v(i, name, kind),
+         (select 'UTF-8' as encoding, count(*) as n_rows from events)""",
+)
+def infer_types_first(spark, sf_dir):
+    """Types by the first 100 records of a folder of files: in all rows, `late` would be text."""
+    path = scratch_path(spark, "mixed")
+    events = table(spark, sf_dir, "events")
+    first = events.orderBy("event_id").limit(100).agg(F.max("event_id").alias("edge"))
+    rows = events.withColumn("edge", first.scalar()).selectExpr(
+        "event_id", "case when event_id <= edge then cast(event_id as string) else 'text' end as late",
+        "case when event_id % 2 = 0 then '2024-01-05' else '2024-01-05 10:20' end as moment", "event_type as kind")
+    export_csv(rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id"), path)
+    found = file_preview(spark, path)
+    return found.columns.withColumns({"encoding": F.lit(found.encoding), "n_rows": F.lit(found.total_rows).cast("bigint")})

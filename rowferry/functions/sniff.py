@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowferry.errors import ConfigError
 from rowferry.functions.convert import parse_date, parse_datetime
 from rowferry.functions.text import (
     FLOAT_PATTERN,
@@ -100,16 +101,19 @@ def vote(kinds: Column) -> Column:
 
 
 def infer_types(
-    df: DataFrame, sample: int | None = 100, order_by: list[str] | None = None
+    df: DataFrame, sample: int | None = None, order_by: list[str] | None = None
 ) -> DataFrame:
     """``(index, name, inferred_type)``; NULL type when every value is NULL.
 
-    The vote is one partial aggregate over at most six kind names per column,
-    so it runs over whole tables as well (``sample=None``). With a sample,
-    ``order_by`` fixes which rows are the first ones.
+    The vote is one partial aggregate over at most six kind names per column and
+    runs over the whole table. A ``sample`` takes the first rows of ``order_by``,
+    which it needs, as a frame has no order of its own: n rows are kept per task
+    and merged.
     """
     if sample is not None:
-        df = (df.orderBy(*order_by) if order_by else df).limit(sample)
+        if not order_by:
+            raise ConfigError("the first rows of a sample need order_by")
+        df = df.orderBy(*order_by).limit(sample)
     seen = []
     for i, field in enumerate(df.schema):
         c = F.col(quoted(field.name))

@@ -8,20 +8,38 @@ joins are planned on facts.
 
 from __future__ import annotations
 
+import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rowferry.errors import ConfigError
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder set as ``spark.checkpoint.dir`` or by ``setCheckpointDir``, else the warehouse.
+    """The folder set as ``spark.checkpoint.dir`` or by ``setCheckpointDir``.
 
-    The warehouse is shared by definition; no machine's own temporary folder is used.
+    In local mode, where driver and tasks share one machine, the warehouse will do;
+    a cluster has to name a folder that all its machines share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ConfigError("set spark.checkpoint.dir to a folder that all machines share")
     return (root or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
+def clean(spark: SparkSession, least_age_s: float = 0.0) -> int:
+    """Delete scratch tables older than this, those of running jobs included; returns their number."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/rowferry")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = 0
+    for status in fs.listStatus(folder) if fs.exists(folder) else []:
+        if time.time() - status.getModificationTime() / 1000 >= least_age_s:
+            gone += bool(fs.delete(status.getPath(), True))
+    return gone
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path nobody has used yet; the caller owns what is written there."""
     return f"{scratch_root(spark)}/rowferry/{label}-{uuid.uuid4().hex}"

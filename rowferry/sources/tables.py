@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from rowferry.errors import ConfigError, NotFoundError
 from rowferry.functions.sniff import infer_types
 from rowferry.functions.text import display
-from rowferry.sources.files import check_ending, read_csv
-from rowferry.types import Kind, normalize_types, values_of
+from rowferry.scratch import materialize
+from rowferry.sources.files import check_ending, marked_encoding, read_csv
+from rowferry.types import Kind, normalize_types, quoted, values_of
 
 
 @dataclass(frozen=True)
@@ -140,31 +141,54 @@ def preview(df: DataFrame, rows: int = 100, order_by: list[str] | None = None) -
 
 
 def preview_columns(
-    df: DataFrame, sample: int = 100, order_by: list[str] | None = None
+    df: DataFrame, sample: int | None = None, order_by: list[str] | None = None
 ) -> DataFrame:
-    """``(index, name, inferred_type)`` from the first rows."""
+    """``(index, name, inferred_type)`` from all rows, or the first ones of an order."""
     return infer_types(df, sample, order_by)
 
 
 @dataclass
 class SourcePreview:
-    """Columns with inferred types, the first rows, and the number of all rows if asked for."""
+    """Columns with inferred types, the first rows, the number of all rows if asked for, and the encoding of text."""
 
     columns: DataFrame
     rows: DataFrame
     total_rows: int | None
+    encoding: str | None = None
 
 
 def source_preview(
-    df: DataFrame, rows: int = 100, order_by: list[str] | None = None, count: bool = True
+    df: DataFrame, rows: int = 100, order_by: list[str] | None = None, count: bool = True,
+    sample: int | None = None, encoding: str | None = None,
 ) -> SourcePreview:
     return SourcePreview(
-        preview_columns(df, rows, order_by),
+        preview_columns(df, sample, order_by),
         preview(df, rows, order_by),
         df.count() if count else None,
+        encoding,
     )
 
 
+def file_preview(
+    spark: SparkSession, path: str, encoding: str | None = None, has_header: bool = True, rows: int = 100,
+    typed: bool = True, count: bool = True,
+) -> SourcePreview:
+    """The first records of CSV files by path and place, typed from these rows, and the encoding they were read in.
+
+    ``typed`` rows keep their cells (kind and text), others show them as text.
+    """
+    used = marked_encoding(spark, path) or encoding or "UTF-8"
+    cells = read_csv(spark, path, encoding, has_header, row_no="__line")
+    # Few rows, kept per task and merged; they are read once for types and rows.
+    first = materialize(limit_rows(cells, rows, ["__line"]), "preview")
+    names = [c for c in cells.columns if c != "__line"]
+    own = first.select(*[F.col(quoted(c)) for c in names])
+    shown = first.orderBy("__line").select(*[F.col(quoted(c)) for c in names])
+    if not typed:
+        shown = shown.select(*[display(v).alias(n) for n, v in values_of(shown).items()])
+    return SourcePreview(infer_types(own), shown, cells.count() if count else None, used)
+
+
 def rows_to_json(df: DataFrame, name: str = "json") -> DataFrame:
     """One JSON object per row; dates and times as text, NULLs kept."""
     values = values_of(df)
@@ -222,7 +246,7 @@ def describe_columns(spark: SparkSession, table: str | DataFrame) -> DataFrame:
 
 
 __all__ = [
-    "SourcePreview", "SourceSpec", "describe_columns", "jdbc_options", "limit_rows",
+    "SourcePreview", "SourceSpec", "describe_columns", "file_preview", "jdbc_options", "limit_rows",
     "list_tables", "preview", "preview_columns", "query_fingerprint", "read_jdbc", "read_query",
     "read_source", "read_table", "resolve_source", "rows_to_json", "source_preview",
 ]
