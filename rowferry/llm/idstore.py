@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from rowferry.llm.common import id_and_text, pairs, row_batches
 from rowferry.llm.tokens import WordEncoder
+from rowferry.scratch import materialize
 
 END_ID = 1
 #: Ids in a block; a longer document is a block of its own.
@@ -240,8 +241,10 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+def _files(spark: SparkSession, path: str, named: list[str] | None = None) -> DataFrame:
+    """Number and bytes of all shards, or of the named ones."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
+    files = reader.load([f"{path}/{n}" for n in named] if named else path)
     number = F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
     return files.select(number.alias("shard"), F.col("content"))
 
@@ -276,26 +279,86 @@ def starts(sizes: DataFrame) -> DataFrame:
     return blocks.join(shards, "shard").select("shard", "block", (F.col("shard_base") + F.col("inside")).alias("base"))
 
 
+INDEX = "shard long, block long, low long, high long, n_ids long, file string"
+
+
+def write_index(spark: SparkSession, path: str) -> None:
+    """A sidecar beside the shards: key range, size and file of each block. Reads the shards once."""
+    sizes = block_sizes(spark, path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    number = F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
+    names = files.select(number.alias("shard"), F.substring_index("path", "/", -1).alias("file"))
+    sizes.join(names, "shard").write.mode("overwrite").parquet(f"{path}/_index")
+
+
+def routes(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, shard, block, file) of every block that may hold a key, without comparing keys with all blocks.
+
+    Blocks are disjoint ranges in key order but for their ends: a block holds a
+    key between its ends, and then it is the last one that begins before the key,
+    or the key is one of its ends, which is an equality.
+    """
+    blocks = index.where("low is not null").select("low", "high", "shard", "block", "file")
+    place = F.struct("high", "shard", "block", "file")
+    starts = blocks.groupBy(F.col("low").alias("key")).agg(F.max(place).alias("place"))
+    marks = starts.withColumn("asked", F.lit(False)).unionByName(
+        keys.select("key", F.lit(None).cast(starts.schema["place"].dataType).alias("place"), F.lit(True).alias("asked"))
+    )
+    # The last block before each key: within a range of keys, and from the ranges before it.
+    ordered = marks.repartitionByRange("key", "asked").withColumn("part", F.spark_partition_id())
+    ordered = materialize(ordered, "ids-route")
+    inside = Window.partitionBy("part").orderBy("key", "asked")
+    found = ordered.withColumn("last", F.last("place", ignorenulls=True).over(inside))
+    ends = ordered.where(~F.col("asked")).groupBy("part").agg(F.max_by("place", "key").alias("end"))
+    # One row for each range.
+    parts = ordered.select("part").distinct().join(ends, "part", "left").select(
+        "part", F.last("end", ignorenulls=True).over(
+            Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier")
+    )
+    asked = found.where("asked").join(parts, "part").select("key", F.coalesce("last", "earlier").alias("place"))
+    between = asked.where(F.col("place.high") > F.col("key")).select("key", "place.shard", "place.block", "place.file")
+    at_ends = [
+        keys.join(blocks.withColumnRenamed(end, "key"), "key").select("key", "shard", "block", "file") for end in ("low", "high")
+    ]
+    return between.unionAll(at_ends[0]).unionAll(at_ends[1]).distinct()
+
+
+#: Asked keys that a task looks up in a block at a time.
+ASKED = 100_000
+#: Files that are opened by name; where more are needed, all are read and joined by shard.
+NAMED_FILES = 1000
+
+
 def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """doc_id and ids of the asked keys that are stored.
+    """doc_id and ids of the asked keys that are stored; ``write_index`` has to be run before.
 
-    The keys of one shard's range go to that shard's task; each is one probe of
-    a block's index. keys is gathered by shard, in Spark, not on the driver.
+    Keys are routed to blocks through the sidecar, only files that may hold one
+    are opened, and each key is one probe of a block's index. Keys that are asked
+    for more than once are found once.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
-    sizes = block_sizes(spark, path).groupBy("shard").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     asked = keys.select(F.col(key_col).cast("long").alias("key")).where("key is not null").distinct()
-    # One row for each shard file.
-    routed = asked.join(F.broadcast(sizes), F.col("key").between(F.col("low"), F.col("high")))
-    wanted = routed.groupBy("shard").agg(F.collect_list("key").alias("keys"))
+    routed = materialize(routes(spark.read.schema(INDEX).parquet(f"{path}/_index"), asked), "ids-routed")
+    files = [r["file"] for r in routed.select("file").distinct().limit(NAMED_FILES + 1).collect()]
+    named = files if 0 < len(files) <= NAMED_FILES else None
+    # A share of the keys of a shard, by hash, goes with one copy of the shard's bytes.
+    shares = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ASKED).alias("shares"))
+    dealt = routed.join(shares, "shard").withColumn("share", F.pmod(F.xxhash64("key"), "shares"))
+    wanted = dealt.groupBy("shard", "share").agg(
+        F.sort_array(F.collect_list(F.struct("block", "key"))).alias("asked")
+    ).select("shard", F.col("asked.block").alias("blocks"), F.col("asked.key").alias("keys"))
 
     def rows(batches):
-        for data, keys_ in pairs(batches):
-            for block in blocks_of(data):
-                for r in block.rows(np.array(keys_, np.int64)):
-                    yield int(block.records["key"][r]), block.ids(r)
-
-    files = _files(spark, path).join(wanted, "shard").select("content", "keys")
-    return files.mapInArrow(
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data, of_block, wanted_keys = (batch.column(c)[i].as_py() for c in range(3))
+                of_block, wanted_keys = np.array(of_block, np.int64), np.array(wanted_keys, np.int64)
+                for block in blocks_of(data):
+                    own = wanted_keys[of_block == block.number]
+                    for r in block.rows(own) if len(own) else ():
+                        yield int(block.records["key"][r]), block.ids(r)
+
+    joined = _files(spark, path, named).join(wanted, "shard").select("content", "blocks", "keys")
+    return joined.mapInArrow(
         lambda b: row_batches(rows(b), schema, lambda r: len(r[1]) + 64), "doc_id long, ids binary"
     )

@@ -146,6 +146,7 @@ def test_id_store(spark, odd, none):
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == sorted((d for d, _, _ in ODD), key=lambda d: (d is not None, d or 0))
     want = sorted((d or 0, zlib.crc32(np.array(encode(t) + [1], "<u4").tobytes())) for d, t, _ in ODD)
     assert sorted((r.doc_id or 0, zlib.crc32(r.ids)) for r in got) == want
+    idstore.write_index(spark, path)
     asked = spark.createDataFrame([(5,), (999,), (None,), (1,)], "doc_id long")
     assert sorted(r.doc_id for r in idstore.lookup(spark, path, asked).collect()) == [1, 1, 5]
     keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 3000)
