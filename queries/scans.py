@@ -8,7 +8,7 @@ from queries.registry import TABLES, query, table, view
 from rowferry.functions.sniff import infer_types, sniff_cells
 from rowferry.operators.mapping import Rule, apply_rules, good_rows
 from rowferry.scratch import scratch_path
-from rowferry.sources.files import content_checksum, file_fingerprint, read_csv
+from rowferry.sources.files import block_digests, content_checksum, file_fingerprint, read_csv
 from rowferry.sources.sinks import export_csv
 from rowferry.sources.tables import (
     describe_columns,
@@ -411,3 +411,23 @@ def infer_types_first(spark, sf_dir):
     export_csv(rows.repartitionByRange(4, "event_id").sortWithinPartitions("event_id"), path)
     found = file_preview(spark, path)
     return found.columns.withColumns({"encoding": F.lit(found.encoding), "n_rows": F.lit(found.total_rows).cast("bigint")})
+
+
+@query(
+    "block_digests",
+    """with l as (select c_custkey % 4 as r, concat(cast(c_custkey as varchar), ',', c_name) as v,
+          row_number() over (partition by c_custkey % 4 order by c_custkey) - 1 as n from customer),
+        f as (select r, sum(strlen(v)) + count(*) as size, count(*) as total from l group by r),
+        h as (select l.r, n, case when n = total - 1 then sha256(concat(sha256(v), ' ', cast(size as varchar)))
+            else sha256(v) end as h from l join f on l.r = f.r)
+        select cast(r as integer) as r, n // 100 as part, count(*) as n_lines, sha256(string_agg(h, '' order by n)) as digest
+        from h group by r, n // 100""",
+)
+def block_digests_query(spark, sf_dir):
+    """Digests of every hundred lines of four files."""
+    path = scratch_path(spark, "digests")
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey % 4 r", "c_custkey k", "concat(c_custkey, ',', c_name) value")
+    dealt = rows.repartition("r").sortWithinPartitions("r", "k").select("r", "value")
+    dealt.write.option("lineSep", "\n").partitionBy("r").text(path)
+    found = block_digests(spark, f"{path}/*", 100)
+    return found.select(F.regexp_extract("path", "/r=([0-9]+)/", 1).cast("int").alias("r"), "part", "n_lines", "digest")

@@ -245,6 +245,68 @@ def file_listing(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2(seen, 256).alias("sha256"))
 
 
+#: Lines under one digest of the lowest level, and digests under one of the next.
+BLOCK_LINES = 4096
+
+
+def block_digests(spark: SparkSession, path: str, lines: int = BLOCK_LINES) -> DataFrame:
+    """``(path, part, n_lines, digest)``: digests of runs of ``lines`` lines (bytes up to a line feed) of files of any size.
+
+    Only hashes are shuffled. Runs are counted from the start of a file, so they do
+    not depend on how Spark splits it.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("pos"),
+        F.col("_metadata.file_size").alias("size"),
+        F.sha2(F.col("value").cast("binary"), 256).alias("h"),
+    )
+    inside = Window.partitionBy("path", "block").orderBy("pos")
+    numbered = read.withColumn("n", F.row_number().over(inside) - 1)
+    # One row for each file block.
+    counts = read.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(
+        "path", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
+        F.sum("n").over(Window.partitionBy("path")).alias("total"),
+    )
+    placed = numbered.join(bases, ["path", "block"]).withColumn("line", F.col("base") + F.col("n"))
+    # The last line of a file knows its size: a line feed at the end counts.
+    last = F.col("line") == F.col("total") - 1
+    sized = placed.withColumn("h", F.when(last, F.sha2(F.concat_ws(" ", "h", "size"), 256)).otherwise(F.col("h")))
+    return _folded(sized, "line", "h", lines).withColumnsRenamed({"run": "part", "n": "n_lines"}).select(
+        "path", "part", "n_lines", "digest"
+    )
+
+
+def _folded(rows: DataFrame, order: str, digest: str, size: int) -> DataFrame:
+    """``(path, run, n, digest)``: digests of runs of ``size`` digests, by order."""
+    run = F.floor(F.col(order) / size).cast("bigint").alias("run")
+    own = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(digest).alias("h"))))
+    return rows.groupBy("path", run).agg(
+        F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(own, lambda x: x["h"]), ""), 256).alias("digest")
+    )
+
+
+def fold_digests(blocks: DataFrame) -> DataFrame:
+    """``(path, sha256)`` of whole files from their blocks' digests, in three levels."""
+    level = _folded(blocks, "part", "digest", BLOCK_LINES)
+    level = _folded(level.drop("n"), "run", "digest", BLOCK_LINES)
+    whole = F.sort_array(F.collect_list(F.struct("run", "digest")))
+    return level.groupBy("path").agg(F.sha2(F.array_join(whole["digest"], ""), 256).alias("sha256"))
+
+
+def changed_blocks(before: DataFrame, now: DataFrame) -> DataFrame:
+    """``(path, part)`` of blocks that differ, are gone or are new; equal files take no part beyond their digest."""
+    same = fold_digests(before).join(fold_digests(now), ["path", "sha256"]).select("path")
+    old, new = (
+        df.join(same, "path", "left_anti").select("path", "part", F.struct("n_lines", "digest").alias(name))
+        for df, name in ((before, "old"), (now, "new"))
+    )
+    return old.join(new, ["path", "part"], "full").where(~F.col("old").eqNullSafe(F.col("new"))).select("path", "part")
+
+
 def content_checksum(df: DataFrame) -> DataFrame:
     """``(n_rows, checksum)``: order-free digest of all rows, one partial aggregate.
 

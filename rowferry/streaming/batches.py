@@ -19,7 +19,7 @@ from rowferry import messages as M
 from rowferry.errors import ConfigError, JobError
 from rowferry.operators.mapping import Rule, apply_rules
 from rowferry.plans.mapping_job import ErrorPolicy, outcome_counts
-from rowferry.sources.files import file_fingerprint, file_listing
+from rowferry.sources.files import block_digests, changed_blocks, file_fingerprint, file_listing
 
 
 @dataclass
@@ -28,8 +28,9 @@ class BatchJob:
 
     ``row`` names the column with the row number. Batch size is set by files
     (``files_per_batch``) or bytes, since a cluster reads whole files. ``guard``
-    tells how a resumed job checks that its files are unchanged: by ``content``
-    (hashes every file) or by ``listing`` (sizes and change times only).
+    tells how a resumed job checks that its files are unchanged: by ``listing``
+    (sizes and change times only), by ``blocks`` (hashes of runs of lines, for files
+    of any size; names what changed) or by ``content`` (one hash a file).
     """
 
     source: str
@@ -42,7 +43,7 @@ class BatchJob:
     options: dict[str, str] | None = None
     files_per_batch: int = 1000
     policy: ErrorPolicy = ErrorPolicy()
-    guard: str = "content"
+    guard: str = "listing"
 
 
 def run_batches(spark: SparkSession, job: BatchJob) -> DataFrame:
@@ -140,19 +141,28 @@ def _guard(spark: SparkSession, job: BatchJob) -> None:
     if job.target.rstrip("/").startswith(job.source.rstrip("/") + "/"):
         raise ConfigError("target lies inside the source folder")
     stored_at = f"{job.target}/fingerprint"
-    if job.guard not in ("content", "listing"):
-        raise ConfigError(f"guard must be content or listing, not {job.guard}")
-    files = (file_fingerprint if job.guard == "content" else file_listing)(spark, job.source)
+    if job.guard not in GUARDS:
+        raise ConfigError(f"guard must be one of {', '.join(GUARDS)}, not {job.guard}")
+    files = GUARDS[job.guard](spark, job.source)
     try:
         stored = spark.read.parquet(stored_at)
     except AnalysisException:
         files.write.parquet(stored_at)
         return
-    changed = stored.join(files.withColumnRenamed("sha256", "now"), "path", "left").where(
-        F.col("now").isNull() | (F.col("now") != F.col("sha256"))
-    )
-    if changed.limit(1).count():
-        raise JobError("source files changed since the job started; run it anew")
+    # Files that came since are new input; those seen at the start must be as they were.
+    if job.guard == "blocks":
+        seen = files.join(stored.select("path").distinct(), "path")
+        changed = changed_blocks(stored, seen).select("path", F.concat(F.lit(" block "), "part").alias("at"))
+    else:
+        changed = stored.join(files.withColumnRenamed("sha256", "now"), "path", "left").where(
+            F.col("now").isNull() | (F.col("now") != F.col("sha256"))
+        ).select("path", F.lit("").alias("at"))
+    first = changed.orderBy("path", "at").first()
+    if first:
+        raise JobError(f"source files changed since the job started ({first['path']}{first['at']}); run it anew")
+
+
+GUARDS = {"listing": file_listing, "blocks": block_digests, "content": file_fingerprint}
 
 
 __all__ = [

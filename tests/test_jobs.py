@@ -1,5 +1,7 @@
 """Mapping jobs, policies, numbering, batches, checkpointed runs."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,6 +140,19 @@ def test_changed_files_are_not_resumed(spark, folder):
         run_batches(spark, job)
 
 
+def test_changed_blocks_are_named(spark, folder):
+    job = batch_job(spark, folder)
+    job.guard = "blocks"
+    assert run_batches(spark, job).count() == 4
+    assert run_batches(spark, job).count() == 4
+    part = next(p for p in sorted(os.listdir(job.source)) if p.endswith(".parquet"))
+    with open(f"{job.source}/{part}", "ab") as f:
+        f.write(b"\n")
+    os.remove(f"{job.source}/.{part}.crc")  # of the bytes before
+    with pytest.raises(JobError, match=f"{part} block 0"):
+        run_batches(spark, job)
+
+
 def test_listing_guard_and_checks(spark, folder):
     job = batch_job(spark, folder)
     job.guard, job.files_per_batch = "listing", 4

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from rowferry.errors import ConfigError, NotFoundError, SourceError
 from rowferry.sources.files import (
+    block_digests,
+    changed_blocks,
     check_ending,
     combined_fingerprint,
     content_checksum,
     file_fingerprint,
+    fold_digests,
     profile_lines,
     read_csv,
 )
@@ -255,3 +258,37 @@ def test_a_quote_that_is_never_closed_is_named(spark, folder, monkeypatch):
     monkeypatch.setattr(records, "MOST_RECORD_BYTES", 100)
     with pytest.raises(SourceError, match="closed"):
         read_csv(spark, path)
+
+
+def test_block_digests_of_files_of_any_size(spark, folder):
+    """No limit on a file's size, the same digests however files are split, and only changed blocks are named."""
+    import os
+
+    os.mkdir(f"{folder}/in")
+    lines = [f"line {i} " + "x" * (i % 40) for i in range(3000)]
+    for name in ("a", "b"):
+        write(f"{folder}/in", f"{name}.csv", "\n".join(lines) + "\n")
+    conf = {"spark.sql.sources.binaryFile.maxLength": "100", "spark.sql.files.maxPartitionBytes": "9000"}
+    first = block_digests(spark, f"{folder}/in", 100)
+    first.write.parquet(f"{folder}/first")
+    first = spark.read.parquet(f"{folder}/first")
+    assert first.count() == 60 and first.agg(F.sum("n_lines")).first()[0] == 6000
+    saved = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        with pytest.raises(SourceError):
+            file_fingerprint(spark, f"{folder}/in")
+        again = block_digests(spark, f"{folder}/in", 100)
+        assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+        assert changed_blocks(first, again).count() == 0
+        digests = [r.sha256 for r in fold_digests(again).collect()]
+        assert len(set(digests)) == 1 and len(digests) == 2
+        lines[777] += "!"
+        lines[10], lines[11] = lines[11], lines[10]
+        write(f"{folder}/in", "b.csv", "\n".join([*lines, "more"]) + "\n")
+        found = sorted((r.path.rsplit("/", 1)[-1], r.part) for r in changed_blocks(first, block_digests(spark, f"{folder}/in", 100)).collect())
+        assert found == [("b.csv", 0), ("b.csv", 7), ("b.csv", 29), ("b.csv", 30)]  # 29 held the file's end
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
