@@ -19,7 +19,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from queries import QUERIES  # noqa: E402
 from queries.registry import table  # noqa: E402
-from rowferry import Kind, MappingJob, Rule, run_mapping, session  # noqa: E402
+from rowferry import Kind, MappingJob, Rule, VersionedTable, Work, col, run_mapping, run_works, session  # noqa: E402
 from rowferry.operators.mapping import apply_rules  # noqa: E402
 from rowferry.operators.numbering import batch_no, with_row_no  # noqa: E402
 from rowferry.scratch import scratch_path  # noqa: E402
@@ -74,13 +74,24 @@ def write_lineitem(spark):
     append_rows(table(spark, SF_DIR, "lineitem"), scratch_path(spark, "bench-sink"))
 
 
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+
+
 def number_lineitem(spark):
-    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
-             "l_extendedprice", "l_shipdate"]
-    numbered = with_row_no(table(spark, SF_DIR, "lineitem"), order)
+    numbered = with_row_no(table(spark, SF_DIR, "lineitem"), LINE_ORDER)
     noop(numbered.withColumn("batch", batch_no(F.col("row_no"), 1, 5000)))
 
 
+def work_rejects_lineitem(spark):
+    """A work into a versioned table whose types reject some rows, which are numbered."""
+    store = VersionedTable.create(spark, scratch_path(spark, "bench-store"), "part smallint, price decimal(7,2)")
+    work = (
+        Work("narrow").source(table(spark, SF_DIR, "lineitem"), "l", order_by=LINE_ORDER).into("t")
+        .add({"part": col("l.l_partkey"), "price": col("l.l_extendedprice")})
+    )
+    noop(run_works(spark, [work], {"t": store}).rejects)
+
+
 def main():
     cores = int(CPUS)
     spark = session(
@@ -99,6 +110,7 @@ def main():
         "convert_lineitem_text": (convert_lineitem_text, "lineitem"),
         "mapping_job_lineitem": (mapping_job_lineitem, "lineitem"),
         "write_lineitem": (write_lineitem, "lineitem"),
+        "work_rejects_lineitem": (work_rejects_lineitem, "lineitem"),
         "number_and_batch_lineitem": (number_lineitem, "lineitem"),
         **{n: (registered(n), t) for n, t in {
             "gen_sha256": "lineitem", "template_concat": "lineitem", "filter_between": "lineitem",
