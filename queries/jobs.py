@@ -220,9 +220,10 @@ def batch_commit(spark, sf_dir):
 
 
 def _csv_ledger(spark, sf_dir):
-    """dirty_events as a CSV file of typed cells, committed in batches of 500 lines into a table."""
+    """dirty_events as CSV files of typed cells, committed in batches of 500 lines into a table."""
     source = scratch_path(spark, "ledger-csv")
-    export_csv(view(spark, sf_dir, "dirty_events").repartitionByRange(1, "event_id").sortWithinPartitions("event_id"), source)
+    # One file for each range of keys, so that the files' order is the keys' order.
+    export_csv(view(spark, sf_dir, "dirty_events").repartitionByRange("event_id").sortWithinPartitions("event_id"), source)
     job = MappingJob(
         read_csv(spark, source, row_no="line"), DIRTY_RULES, order_by=[], row="line", first_row=2, batch_size=500
     )

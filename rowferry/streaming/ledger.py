@@ -1,10 +1,13 @@
 """Mapping jobs that commit batch by batch into a versioned table and can be resumed.
 
-Converted rows are staged once, by batch. Each batch is then one data folder and
-one manifest of the target, and the manifest carries the job's log: batch, counts
-and state. Rows and log are committed by the same atomic step, so a batch that
-died half way is simply done again, and no row is written twice. Which batch the
-error policy stops at is decided from one small row for each batch.
+Converted rows are staged once, with their batch. Runs of batches are written into
+one data folder each; every run is twice as long as the one before, so a job of any
+number of batches is a handful of writes, and a crash costs no more than was
+committed before. Each batch is then one manifest of the target, which lets readers
+see the folder up to that batch and carries the job's log: batch, counts and state.
+Rows and log are committed by the same atomic step, so a batch that died half way
+is simply done again, and no row is seen twice. Which batch the error policy stops
+at is decided from one small row for each batch.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from __future__ import annotations
 import json
 import socket
 import time
+from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +28,7 @@ from rowferry.operators.numbering import batch_no
 from rowferry.plans.mapping_job import MappingJob, aborting_batch, batch_stats
 from rowferry.plans.result import JobResult
 from rowferry.sources.files import combined_fingerprint, file_fingerprint, file_listing
-from rowferry.sources.versions import Manifest, VersionedTable, create_once, exists, read_file, remove
+from rowferry.sources.versions import STEP, Manifest, VersionedTable, create_once, exists, read_file, remove
 
 COLUMNS = "batch bigint, total_rows bigint, success_rows bigint, error_rows bigint, state string, version bigint"
 
@@ -86,7 +91,8 @@ def _staged(spark: SparkSession, job: MappingJob, target: VersionedTable, base:
     tagged = job.tagged({f.name: f for f in base.schema})
     rows = tagged.withColumn("batch", batch_no(F.col("__row"), job.first_row, job.batch_size))
     if not exists(spark, f"{path}/_SUCCESS"):
-        rows.write.mode("overwrite").partitionBy("batch").parquet(path)
+        # Sorted within tasks, so that the rows of a run of batches are found by the files' statistics.
+        rows.sortWithinPartitions("batch").write.mode("overwrite").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
@@ -106,22 +112,29 @@ def _commit_batches(
             M.ABORT_ON_RATE.format(rate=stop["rate"], limit=f"{job.policy.max_percent:g}")
         )
 
+    ok_rows, error_rows = (
+        list(accumulate((counts.get(b, (0, 0))[i] for b in range(batches)), initial=0)) for i in (0, 1)
+    )
+
     def log(batch: int, state: str) -> dict:
-        seen = [counts.get(b, (0, 0)) for b in range(batch + 1)]
+        seen = min(batch + 1, batches)
         return {
             **base.jobs,
             name: {
                 "batch": batch, "batches": batches, "state": state, "rows": list(counts.get(batch, (0, 0))),
-                "success_rows": sum(ok for ok, _ in seen), "error_rows": sum(bad for _, bad in seen),
+                "success_rows": ok_rows[seen], "error_rows": error_rows[seen],
             },
         }
 
     try:
-        for batch in range(done, batches if stop_at is None else stop_at):
-            rows = good_rows(staged.where(F.col("batch") == batch), job.target_columns)
-            part = target.write_part(rows, base.schema)
-            state = "completed" if batch == batches - 1 else "running"
-            base = target.commit(spark, base, [*base.parts, part], f"batch {batch}", log(batch, state))
+        for run in _runs(done, batches if stop_at is None else stop_at):
+            stepped = staged.where(F.col("batch").between(run[0], run[-1])).withColumn(STEP, F.col("batch"))
+            part = target.write_part(good_rows(stepped, [*job.target_columns, STEP]), base.schema)
+            parts, steps = [*base.parts, part], base.steps
+            for batch in run:
+                state = "completed" if batch == batches - 1 else "running"
+                seen = steps if batch == run[-1] else {**steps, part: batch}
+                base = target.commit(spark, base, parts, f"batch {batch}", log(batch, state), seen)
         if not batches:
             base = target.commit(spark, base, list(base.parts), "no batch", log(-1, "completed"))
         if stop_at is not None:
@@ -144,6 +157,15 @@ def _commit_batches(
     return result
 
 
+def _runs(start: int, end: int) -> Iterator[range]:
+    """Batches ``start`` to ``end`` (exclusive) in runs, each as long as all before it."""
+    at = start
+    while at < end:
+        run = range(at, min(at + max(at - start, 1), end))
+        yield run
+        at = run.stop
+
+
 def ledger(spark: SparkSession, target: VersionedTable, name: str) -> DataFrame:
     """The job's log: ``(batch, total_rows, success_rows, error_rows, state, version)`` of every batch that can still be read."""
     rows, seen = [], None
