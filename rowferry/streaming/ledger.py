@@ -30,7 +30,10 @@ from rowferry.plans.result import JobResult
 from rowferry.sources.files import combined_fingerprint, file_fingerprint, file_listing
 from rowferry.sources.versions import STEP, Manifest, VersionedTable, create_once, exists, read_file, remove
 
-COLUMNS = "batch bigint, total_rows bigint, success_rows bigint, error_rows bigint, state string, version bigint"
+_LOG = (
+    "jobs map<string, struct<batch: bigint, batches: bigint, state: string, rows: array<bigint>, "
+    "success_rows: bigint, error_rows: bigint>>"
+)
 
 
 def run_ledger(
@@ -168,11 +171,13 @@ def _runs(start: int, end: int) -> Iterator[range]:
 
 def ledger(spark: SparkSession, target: VersionedTable, name: str) -> DataFrame:
     """The job's log: ``(batch, total_rows, success_rows, error_rows, state, version)`` of every batch that can still be read."""
-    rows, seen = [], None
-    for version in target.versions(spark):
-        entry = target.manifest(spark, version).jobs.get(name)
-        if entry and entry != seen:
-            ok, bad = entry["rows"]
-            rows.append((entry["batch"], ok + bad, ok, bad, entry["state"], version))
-        seen = entry
-    return spark.createDataFrame(rows, COLUMNS)
+    entry = F.try_element_at(F.from_json("text", _LOG)["jobs"], F.lit(name))
+    entries = target.manifests(spark).select("version", entry.alias("entry")).where(F.col("entry").isNotNull())
+    # A version of another change carries the entry of the version before.
+    before = entries.select((F.col("version") + 1).alias("version"), F.col("entry").alias("seen"))
+    made = entries.join(before, "version", "left").where(~F.col("entry").eqNullSafe(F.col("seen")))
+    ok, bad = F.col("entry.rows")[0], F.col("entry.rows")[1]
+    return made.select(
+        "entry.batch", (ok + bad).alias("total_rows"), ok.alias("success_rows"), bad.alias("error_rows"),
+        "entry.state", "version",
+    )

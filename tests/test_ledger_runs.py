@@ -85,6 +85,27 @@ def test_a_crash_within_a_run_hides_its_later_batches(spark, case, monkeypatch):
     assert made.steps == {} and ids(target.read(spark)) == [*good(40), 100]
 
 
+def test_the_log_keeps_jobs_apart_and_names_as_they_are(spark, case, folder):
+    job, target, own = case
+    run_ledger(spark, job, target, 'a "b".c', own)
+    run_ledger(spark, job, target, "z", f"{folder}/z")
+    first, second = (ledger(spark, target, n).orderBy("version").collect() for n in ('a "b".c', "z"))
+    assert [r.version for r in first] == list(range(1, 21)) and [r.version for r in second] == list(range(21, 41))
+    assert ledger(spark, target, "none").count() == 0
+    target.expire(spark, keep=3, least_age_s=0.0)
+    assert [r.batch for r in ledger(spark, target, "z").orderBy("batch").collect()] == [17, 18, 19]
+
+
+def test_the_log_is_read_by_tasks(spark, case, monkeypatch):
+    job, target, folder = case
+    run_ledger(spark, job, target, "j", folder)
+    monkeypatch.setattr(VersionedTable, "manifest", lambda *a: pytest.fail("the driver reads every manifest"))
+    found = ledger(spark, target, "j")
+    assert found.dtypes == [("batch", "bigint"), ("total_rows", "bigint"), ("success_rows", "bigint"),
+                            ("error_rows", "bigint"), ("state", "string"), ("version", "bigint")]
+    assert found.count() == 20 and found.where("state = 'completed'").first().batch == 19
+
+
 def test_manifests_without_steps_are_read(spark, folder):
     target = VersionedTable.create(spark, f"{folder}/t", "id bigint")
     target.append(spark.range(3))
